@@ -22,6 +22,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.media import media_columns
 
@@ -33,4 +39,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from veilspark.llm import decontaminate
+
+    return {"op4_decontamination": decontaminate.ORACLE}
