@@ -46,6 +46,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.jaccard import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.media import media_columns
 
@@ -57,6 +63,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from veilspark.llm import decontaminate
+    from veilspark.llm import decontaminate, jaccard
 
-    return {"op4_decontamination": decontaminate.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
