@@ -87,19 +87,18 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, the index of its least value (the leftmost of equals).
+    """For each window of ``width`` values, the index of the least of their upper 32 bits (the leftmost of equals).
 
-    Values are packed with their index, then block-wise running minima from both sides give each window in
+    Values are packed with their index (fixed widths, so that a choice does not depend on the buffer's length), then block-wise running minima from both sides give each window in
     constant time.
     """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    bits = max(1, int(len(values)).bit_length())
-    packed = (values >> U64(bits)) << U64(bits) | np.arange(len(values), dtype=U64)
+    packed = (values >> U64(32)) << U64(32) | np.arange(len(values), dtype=U64)
     pad = -len(packed) % width
     grid = np.concatenate((packed, np.full(pad, np.iinfo(np.uint64).max, dtype=U64))).reshape(-1, width)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     best = np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
-    return (best & U64((1 << bits) - 1)).astype(np.int64)
+    return (best & U64(0xFFFFFFFF)).astype(np.int64)

@@ -52,6 +52,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.suffixdedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.media import media_columns
 
