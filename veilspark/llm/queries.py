@@ -46,6 +46,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.brown import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.jaccard import link_components
 
