@@ -46,6 +46,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.warcfixity import drill
+
+    return drill(table(spark, sf_dir, "pages"))
+
+
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.brown import score_corpus
 
@@ -75,6 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from veilspark.llm import decontaminate, jaccard
+    from veilspark.llm import decontaminate, jaccard, warcfixity
 
-    return {"op4_decontamination": decontaminate.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op6_warc_fixity": warcfixity.ORACLE, "op8_ngram_jaccard": jaccard.ORACLE}
