@@ -52,6 +52,12 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent(small: DataFrame, label: str, limit: int = 1_000_000) -> DataFrame:
+    """``small``, written once; marked to be sent to all executors if it has no more than ``limit`` rows."""
+    small = written(small, label)
+    return F.broadcast(small) if small.count() <= limit else small
+
+
 def keyed(docs: DataFrame, *columns: str, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with ``id_column``, ``columns`` and a unique non-null long key RID.
 

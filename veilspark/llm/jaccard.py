@@ -9,8 +9,8 @@ is allocated by estimated cost from the number of sets in the band.
 Sets that share a signature meet in a bucket. Each is compared with its bucket's least member; verified links
 give components; then sets of different components that share a bucket are compared too, so no link between
 components is missed while pairs inside a component are never listed. Before exact verification on the shingles,
-a parity sketch discards pairs: every shingle flips one of 512 bits, so sketches differ in no more bits than
-sets do in shingles.
+parity sketches discard pairs: every shingle flips one of 512 bits (of twice its size for a set of more than
+WIDE_ABOVE), so sketches differ in no more bits than sets do in shingles.
 
 Null or empty texts and texts of white space have the empty set, link with nothing and are their own component.
 A null id is never the smallest; a component of null ids alone has a null id. Repeated rows count as documents
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64
-from veilspark.llm.common import RID, keyed, pieces, release, string_bytes, written
+from veilspark.llm.common import RID, keyed, pieces, release, sent, string_bytes, written
 from veilspark.llm.components import components
 from veilspark.llm.quality import white
 from veilspark.llm.toxicity import LOWER
@@ -188,6 +188,7 @@ def signatures(bands: list[Band], hashes: np.ndarray, cuts: np.ndarray, chosen:
 
 
 SKETCH = [f"k{i}" for i in range(8)]
+WIDE_ABOVE = 256
 #: Ids that are broadcast at most, to fetch the texts of sets that meet; beyond it Spark joins by shuffle.
 BROADCAST_SETS = 1_000_000
 
@@ -205,6 +206,29 @@ def sketches(hashes: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def wide_sketches(hashes: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    """Parities of as many bits as the next power of two from twice the size on; none for small sets."""
+    size = np.diff(cuts)
+    bits = np.where(size > WIDE_ABOVE, 1 << np.ceil(np.log2(np.maximum(size, 1) * 2)).astype(np.int64), 0)
+    base = np.concatenate(([0], np.cumsum(bits >> 6)))
+    words = np.zeros(base[-1], dtype=U64)
+    text = np.repeat(np.arange(len(size)), size)
+    mine = bits[text] > 0
+    bit = mix64(hashes[mine] ^ U64(0x51)).astype(np.int64) & (bits[text[mine]] - 1)
+    np.bitwise_xor.at(words, base[text[mine]] + (bit >> 6), U64(1) << (bit & 63).astype(U64))
+    return [words[a:b].tobytes() if b > a else None for a, b in zip(base, base[1:])]
+
+
+def wide_near(x: bytes | None, y: bytes | None, sizes: int) -> bool:
+    """Whether two wide sketches leave a link possible; the longer is folded to the length of the shorter."""
+    if x is None or y is None:
+        return True
+    a, b = (np.frombuffer(v, dtype=U64) for v in (x, y))
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return 9 * int(np.bitwise_count(a ^ b).sum()) <= sizes
+
+
 def document_sets(docs: DataFrame, id_column: str) -> DataFrame:
     """Per row of keyed documents: RID, id, set id, number of shingles and sketch."""
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -213,10 +237,10 @@ def document_sets(docs: DataFrame, id_column: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 hashes, cuts = shingle_hashes(*string_bytes(piece.column(2)))
-                columns = [piece.column(0), piece.column(1), pa.array(set_ids(hashes, cuts)), pa.array(np.diff(cuts)), *map(pa.array, sketches(hashes, cuts))]
-                yield pa.RecordBatch.from_arrays(columns, names=[RID, id_column, "s", "n", *SKETCH])
+                columns = [piece.column(0), piece.column(1), pa.array(set_ids(hashes, cuts)), pa.array(np.diff(cuts)), *map(pa.array, sketches(hashes, cuts)), pa.array(wide_sketches(hashes, cuts), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[RID, id_column, "s", "n", *SKETCH, "wide"])
 
-    return docs.select(RID, id_column, "text").mapInArrow(run, f"{RID} bigint, `{id_column}` {id_type}, s bigint, n bigint, " + ", ".join(f"{k} bigint" for k in SKETCH))
+    return docs.select(RID, id_column, "text").mapInArrow(run, f"{RID} bigint, `{id_column}` {id_type}, s bigint, n bigint, " + ", ".join(f"{k} bigint" for k in SKETCH) + ", wide binary")
 
 
 def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
@@ -270,6 +294,19 @@ def _near(a: str, b: str) -> Column:
     return (9 * bits <= n_a + n_b) & (5 * n_a >= 4 * n_b) & (5 * n_b >= 4 * n_a)
 
 
+def _wide_filter(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose wide sketches leave a link possible."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [wide_near(x, y, n) for x, y, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    x, y = (wide.select(F.col("s").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}")) for k in "ab")
+    held = pairs.join(x, "a").join(y, "b").select("a", "b", "w_a", "w_b", F.col("n_a") + F.col("n_b"))
+    return held.mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets link: 100 * intersection >= 80 * union."""
     spark = pairs.sparkSession
@@ -304,25 +341,25 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def link_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Per row: id, n_shingles, component_id."""
+def rooted(docs: DataFrame, id_column: str) -> DataFrame:
+    """Per row of keyed documents: RID, id, number of shingles and root, the set id that stands for the component."""
     spark = docs.sparkSession
-    docs = keyed(docs, "text", id_column=id_column)
     sets = written(document_sets(docs, id_column), "sets")
-    each = sets.groupBy("s").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in SKETCH])
+    each = sets.groupBy("s").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in [*SKETCH, "wide"]])
     most = sets.agg(F.max("n")).first()[0] or 0
     edges = band_edges(most)
     band = sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in edges), F.lit(0)) - 1
-    counts = dict(each.where(F.col("n") >= LEAST).groupBy(band.alias("band")).count().collect())  # a row for each band
+    counts = dict(each.select("s", "n").where(F.col("n") >= LEAST).groupBy(band.alias("band")).count().collect())  # a row for each band
     bands = [allocate(k, edges[k], edges[k + 1] - 1, counts.get(k, 0)) for k in range(len(edges) - 1)]
     buckets = written(bucket_rows(docs, bands), "buckets")
     release(spark)
-    each = written(each.join(buckets.select("s").distinct(), "s", "left_semi"), "meeting")
+    wide = written(each.join(buckets.select("s").distinct(), "s", "left_semi"), "meeting")
+    each = wide.drop("wide")
 
     centre = buckets.groupBy("sig").agg(F.min("s").alias("a"))
     star = buckets.join(centre, "sig").where(F.col("a") != F.col("s")).select("a", F.col("s").alias("b")).distinct()
     near = star.alias("p").join(each.alias("x"), F.col("p.a") == F.col("x.s")).join(each.alias("y"), F.col("p.b") == F.col("y.s")).where(_near("x", "y"))
-    first = verified(written(near.select("p.a", "p.b"), "pairs"), docs, sets)
+    first = verified(written(_wide_filter(near.select("p.a", "p.b"), wide), "pairs"), docs, sets)
 
     parts = components(first)
     placed = buckets.join(parts, buckets["s"] == parts["node"], "left").select("sig", "s", F.coalesce("component", "s").alias("c"))
@@ -332,13 +369,27 @@ def link_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y"))
     second = across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
-    second = verified(written(second, "pairs"), docs, sets)
+    second = verified(written(_wide_filter(second, wide), "pairs"), docs, sets)
 
     parts = components(first.unionByName(second))
-    rooted = sets.join(parts, sets["s"] == parts["node"], "left").select(id_column, "n", "s", F.coalesce("component", "s").alias("root"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min(id_column).alias("least"))
-    out = rooted.join(least, "root", "left")
-    return out.select(id_column, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_column)).alias("component_id"))
+    return sets.join(parts, sets["s"] == parts["node"], "left").select(RID, id_column, "n", F.coalesce("component", "s").alias("root"))
+
+
+def link_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Per row: id, n_shingles, component_id."""
+    found = rooted(keyed(docs, "text", id_column=id_column), id_column)
+    least = found.where("n > 0").groupBy("root").agg(F.min(id_column).alias("least"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_column))
+    return found.join(least, "root", "left").select(id_column, F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component, that of the least id; rows with the empty set all stay."""
+    d = keyed(docs, *[c for c in docs.columns if c != id_column], id_column=id_column)
+    found = rooted(d, id_column).where("n > 0")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), id_column, RID)).alias("x")).select("root", F.col(f"x.{RID}").alias("stays"))
+    goes = found.join(first, "root").where(F.col(RID) != F.col("stays")).select(RID)
+    return d.join(sent(goes, "copies"), RID, "left_anti").select(*docs.columns)
 
 
 _TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
