@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import RID, keyed
+from veilspark.llm.common import RID, keyed, sent
 
 WINDOW = 8
 #: Windows that are broadcast at most (about 300 bytes each); beyond it Spark joins by shuffle.
@@ -46,13 +46,17 @@ def _window_hashes(size: int) -> Column:
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per row: RID, id, n_words, ``hits`` (array of word index and size) and ``items`` (sorted ids)."""
+    return _scan_keyed(keyed(docs, "text", id_column=id_column), benchmark, id_column, broadcast_windows)
+
+
+def _scan_keyed(docs: DataFrame, benchmark: DataFrame, id_column: str, broadcast_windows: int) -> DataFrame:
     windows = benchmark_windows(benchmark)
     sizes = {r[0]: r[1] for r in windows.groupBy("size").count().collect()}  # at most WINDOW rows
     build = windows.select(F.col("size").alias("b_size"), F.col("h").alias("b_h"), F.col("window").alias("b_window"), "items")
     if sum(sizes.values()) <= broadcast_windows:
         build = F.broadcast(build)
     lengths = sorted(sizes, reverse=True) or [WINDOW]
-    d = keyed(docs, "text", id_column=id_column).select(RID, id_column, words(F.col("text")).alias("w"))
+    d = docs.select(RID, id_column, words(F.col("text")).alias("w"))
     n = F.size("w")
     hashes = [_window_hashes(k) for k in lengths]
     seen = d.select(RID, id_column, "w", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), *hashes)).alias("at", "h"))
@@ -105,9 +109,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", min_
     """
     columns = docs.columns
     d = keyed(docs, *[c for c in columns if c != id_column], id_column=id_column)
-    found = scan(d.drop(RID), benchmark, id_column) if RID not in columns else scan(docs, benchmark, id_column)
+    found = _scan_keyed(d, benchmark, id_column, BROADCAST_WINDOWS)
     found = found.select(F.col(RID), covered(F.col("hits")).alias("_veil_hit"), F.size("items").alias("_veil_items")).where("_veil_items > 0")
-    joined = d.join(found, RID, "left").where(F.coalesce("_veil_items", F.lit(0)) < min_items)
+    joined = d.join(sent(found, "hits"), RID, "left").where(F.coalesce("_veil_items", F.lit(0)) < min_items)
     text = F.when(F.col("_veil_items").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("_veil_hit")))
     out = joined.withColumn("text", text)
     if "n_chars" in columns:

@@ -362,6 +362,26 @@ def report(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return joined.select(id_column, "text", "spans").mapInArrow(run, f"`{id_column}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with the repeated bytes removed from ``text``; of a character cut in two no byte stays.
+
+    All rows and columns stay; ``n_chars``, where there is one, is counted anew for changed texts.
+    """
+    columns = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            text, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            new = [t if not x else _cut_text(t.encode("utf-8"), [(s["lo"], s["hi"]) for s in x])[0].decode("utf-8", "ignore") for t, x in zip(text, spans)]
+            out = {c: batch.column(c) for c in columns}
+            if "n_chars" in out:
+                out["n_chars"] = pa.array([n if t == u else len(u) for n, t, u in zip(out["n_chars"].to_pylist(), text, new)], out["n_chars"].type)
+            out["text"] = pa.array(new, out["text"].type)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
+
+    return _with_spans(docs, id_column, *[c for c in columns if c not in (id_column, "text")]).select(*columns, "spans").mapInArrow(run, docs.schema)
+
+
 def _with_spans(docs: DataFrame, id_column: str, *others: str) -> DataFrame:
     d = keyed(docs, "text", *others, id_column=id_column)
     spans = repeated_spans(d)

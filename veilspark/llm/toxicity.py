@@ -267,6 +267,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit
     return train([t for _, t in rows], np.array([y for y, _ in rows], dtype=np.int64))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = MAX_TRAIN) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, limit=limit).p)
+
+    def run(batches):
+        net = Network()
+        net.p = shared.value
+        for batch in batches:
+            for piece in pieces(batch, "text", 1 << 21):
+                yield piece.filter(pa.array(score_texts(net, *string_bytes(piece.column("text"))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", threshold: float = 0.5, limit: int = MAX_TRAIN) -> DataFrame:
     """Per row: id, held_out, score, predicted. Row-local; the fitted network is sent once to each executor."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, limit=limit, id_column=id_column).p)
