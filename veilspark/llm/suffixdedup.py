@@ -41,7 +41,7 @@ MAX_FAMILY = 20_000
 #: Suffixes that one merge holds (about 60 bytes each), unless one key has more.
 MERGE_STARTS = 1 << 20
 SHARD_STRINGS = 1024
-#: Rows that are broadcast at most, where texts are fetched or cut; beyond it Spark joins by shuffle.
+#: Spans that are broadcast at most, to cut the texts; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 PIECE = 1 << 21
 
@@ -224,15 +224,9 @@ def _marks(docs: DataFrame, states: DataFrame) -> DataFrame:
     return found.join(states, "stretch")
 
 
-def _texts_of(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
-    """``docs`` joined with ``asked`` on RID; the small side is sent to all executors if it is small enough."""
-    return docs.select(RID, "text").join(F.broadcast(asked) if rows <= BROADCAST_ROWS else asked, RID)
-
-
 def _stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The bytes of the segments ``asked``: key, RID, at, many, open, bytes."""
     grouped = written(asked.groupBy(RID).agg(F.collect_list(F.struct("key", "at", "many", "open")).alias("asked")), "asked")
-    rows = grouped.agg(F.sum(F.size("asked"))).first()[0] or 0
 
     def run(batches):
         for batch in batches:
@@ -244,7 +238,7 @@ def _stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.bool_(), pa.binary()))], names=["key", RID, "at", "many", "open", "bytes"])
 
-    return _texts_of(docs, grouped, rows).select(RID, "text", "asked").mapInArrow(run, f"key bigint, {RID} bigint, at int, many smallint, open boolean, bytes binary")
+    return docs.select(RID, "text").join(grouped, RID).select(RID, "text", "asked").mapInArrow(run, f"key bigint, {RID} bigint, at int, many smallint, open boolean, bytes binary")
 
 
 def _merged(stretches: DataFrame) -> DataFrame:
