@@ -97,8 +97,9 @@ def without_spans(text: Column, hit_words: Column) -> Column:
     """``text`` without the words at the indexes ``hit_words`` and what stands between two of them."""
     kept = F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0))
     between = F.split(text, WORD_ANY_CASE, -1)
+    pairs = F.zip_with(between, kept, lambda s, w: F.struct(s.alias("s"), w.alias("w")))  # once, not once a word
     gone = lambda i: F.array_contains(hit_words, i)
-    parts = F.transform(between, lambda s, i: F.concat(F.when(gone(i) & gone(i - 1), F.lit("")).otherwise(s), F.when(gone(i) | (i >= F.size(kept)), F.lit("")).otherwise(F.coalesce(F.get(kept, i), F.lit("")))))
+    parts = F.transform(pairs, lambda x, i: F.concat(F.when(gone(i) & gone(i - 1), F.lit("")).otherwise(x["s"]), F.when(gone(i), F.lit("")).otherwise(F.coalesce(x["w"], F.lit("")))))
     return F.array_join(parts, "")
 
 
