@@ -11,11 +11,12 @@ from veilspark.functions.scalars import levels_at_or_above
 from veilspark.operators import channels as C
 from veilspark.operators import consensus as K
 from veilspark.operators import rewrite as R
+from veilspark.shared import written
 
 
 @dataclass
 class Analysis:
-    """Named plans of an analysis; nothing runs until one is read."""
+    """Tables of an analysis. Tokens, votes and candidates are computed once and kept in the shared folder."""
 
     parts: DataFrame
     tokens: DataFrame
@@ -28,8 +29,8 @@ def analyze(parts: DataFrame, entries: DataFrame | None = None, tokens: DataFram
 
     Two passes: strong candidates of the first are looked up again in their part, as session votes.
     """
-    toks = tokens if tokens is not None else C.tokens(parts)
-    keys = C.terms(entries) if entries is not None else None
+    toks = tokens if tokens is not None else written(C.tokens(parts), "tokens")
+    keys = written(C.terms(entries), "terms") if entries is not None else None
     votes = []
     if keys is not None:
         votes += [C.term_votes(C.dictionary_hits(toks, keys)), C.term_votes(C.cjk_substring_hits(toks, keys), note="辞書·内包"), C.term_votes(C.partial_hits(toks, keys), note="辞書·部分")]
@@ -45,14 +46,15 @@ def analyze(parts: DataFrame, entries: DataFrame | None = None, tokens: DataFram
     every = votes[0]
     for v in votes[1:]:
         every = every.unionByName(v)
-    first = K.merged(K.clusters(every), parts)
+    every = written(every, "votes")
+    first = written(K.merged(K.clusters(every), parts), "candidates")
     promoted = K.promoted_terms(first, extra_terms)
-    again = session_votes(toks, promoted)
+    again = written(session_votes(toks, written(promoted, "promoted")), "votes")
     found = K.merged(K.clusters(every.unionByName(again)), parts)
     found = K.demoted(K.with_contacts(found, contacts))
     if allowlist is not None:
-        found = K.allowed(found, allowlist, toks)
-    return Analysis(parts, toks, found, keys)
+        found = K.allowed(written(found, "candidates"), allowlist, toks)
+    return Analysis(parts, toks, written(found, "candidates"), keys)
 
 
 def session_votes(toks: DataFrame, promoted: DataFrame) -> DataFrame:
@@ -80,13 +82,13 @@ def selected(analysis: Analysis, bundles: DataFrame, level: str = "strong") -> D
 
 def mask(analysis: Analysis, bundles: DataFrame, level: str = "strong", expand: bool = True) -> tuple[DataFrame, DataFrame]:
     """(masked parts, mapping) of bundles (bundle_id, part_id, part_index) under one mapping a bundle."""
-    chosen = selected(analysis, bundles, level)
+    chosen = written(selected(analysis, bundles, level), "chosen")
     if expand:
-        more = R.expanded(chosen, analysis.tokens, analysis.parts).join(bundles, "part_id")
+        more = written(R.expanded(chosen, analysis.tokens, analysis.parts), "expanded").join(bundles, "part_id")
         order = F.struct("part_index", F.lit(1).alias("late"), F.lit(0).alias("ordinal"), F.col("start"), F.col("end"))
         chosen = chosen.unionByName(more.select("bundle_id", "part_id", order.alias("ordinal"), "start", "end", "surface", "category", "confidence", "votes"))
     fixed = analysis.keys.where("mask is not null and not cs").select(F.col("key").alias("ci"), "canonical", "mask").dropDuplicates(["ci"]) if analysis.keys is not None else None
-    mapping = R.numbered(chosen, fixed)
+    mapping = written(R.numbered(chosen, fixed), "mapping")
     parts = analysis.parts.join(bundles.select("bundle_id", "part_id"), "part_id")
     return R.apply_mapping(parts, mapping), mapping
 
@@ -97,7 +99,7 @@ def apply_selection(analysis: Analysis, bundles: DataFrame, spans: DataFrame) ->
     order = F.struct("part_index", F.lit(0).alias("late"), F.lit(0).alias("ordinal"), F.col("start"), F.col("end"))
     chosen = c.select("bundle_id", "part_id", order.alias("ordinal"), "start", "end", "surface", "category", "confidence", "votes")
     fixed = analysis.keys.where("mask is not null and not cs").select(F.col("key").alias("ci"), "canonical", "mask").dropDuplicates(["ci"]) if analysis.keys is not None else None
-    mapping = R.numbered(chosen, fixed)
+    mapping = written(R.numbered(chosen, fixed), "mapping")
     return R.apply_mapping(analysis.parts.join(bundles.select("bundle_id", "part_id"), "part_id"), mapping), mapping
 
 

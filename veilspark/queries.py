@@ -14,6 +14,7 @@ from veilspark import model as M
 from veilspark.functions import prepare as P
 from veilspark.functions import scalars as S
 from veilspark.operators import audit, channels, consensus, registry, rewrite
+from veilspark.shared import written
 
 TERMS = [("Eriner", "社名", ["Eriners"], None), ("Ofonrereer", "人名", [], None), ("License", "商標", [], "〔許諾〕"), ("Retionly", "商標", [], None), ("Ertionha", "人名", [], None)]
 CASED = ["Eriner", "License", "The"]
@@ -318,7 +319,7 @@ def cluster_spans(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return consensus.merged(consensus.clusters(_votes(spark, sf_dir)), _parts(spark, sf_dir))
+    return written(consensus.merged(consensus.clusters(_votes(spark, sf_dir)), _parts(spark, sf_dir)), "candidates")
 
 
 _OUT = 'part_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", surface, category, confidence'
@@ -384,7 +385,7 @@ def _conversation_mapping(spark, sf_dir):
     found = parts.select("bundle_id", "part_id", F.explode(channels.pattern_spans(F.col("text"), "[A-Za-z]+")).alias("s")).where(F.col("s.surface").rlike("^[A-Z][a-z]{7,}$"))
     votes = F.array(F.struct(F.lit("llm").alias("channel"), F.lit("Person").alias("label")))
     chosen = found.select("bundle_id", "part_id", F.struct("part_id", "s.start").alias("ordinal"), "s.start", "s.end", "s.surface", F.lit("人名").alias("category"), F.lit("強").alias("confidence"), votes.alias("votes"))
-    return parts, rewrite.numbered(chosen)
+    return parts, written(rewrite.numbered(chosen), "mapping")
 
 
 @query("placeholder_numbers", f"WITH {_CONV_SQL} SELECT conv_id AS bundle_id, surface AS canonical, '[人物' || row_number() OVER (PARTITION BY conv_id ORDER BY first) || ']' AS placeholder FROM firsts")
