@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -76,6 +77,28 @@ def held_out(column: str, mod: int) -> "F.Column":
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod == 0
 
 
+_HELD: list[dict] = []
+
+
+def held_cache(cache: dict) -> dict:
+    """Register what a worker remembers from task to task, so that tasks of other operators can have it dropped."""
+    _HELD.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """At the start of a task that remembers nothing: drop what the worker's earlier tasks remembered, and trim."""
+    for cache in _HELD:
+        cache.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory of earlier tasks back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def string_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes as one flat array, and its n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,7 +112,7 @@ def string_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nda
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a record batch whose ``column`` holds about ``limit`` bytes each (a longer text stands alone)."""
     _, offsets = string_bytes(batch.column(column))
     begin, n = 0, batch.num_rows

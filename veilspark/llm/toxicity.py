@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer
-from veilspark.llm.common import held_out, pieces, string_bytes
+from veilspark.llm.common import forget, held_out, pieces, string_bytes
 from veilspark.llm.quality import FOLDS, white
 
 WORD_ROWS = 1 << 14
@@ -34,6 +34,7 @@ CHAR_NGRAMS = (4, 5)
 MAX_TRAIN = 700
 EPOCHS = 16
 STEP_WINDOWS = 4096
+STEP_WORDS = 1 << 15
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -111,10 +112,15 @@ class Network:
 
     def inputs(self, words: Words) -> np.ndarray:
         """Input vectors of the distinct words."""
-        sums = np.concatenate((np.zeros((1, CHAR_DIM)), np.cumsum(self.p["char"][words.char_row], axis=0, dtype=np.float64)))
-        many = np.maximum(1, np.diff(words.char_cut))[:, None]
-        chars = (sums[words.char_cut[1:]] - sums[words.char_cut[:-1]]) / many
-        return np.concatenate((self.p["word"][words.word_row], chars.astype(np.float32)), axis=1)
+        out = np.empty((len(words.word_row), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = self.p["word"][words.word_row]
+        for k in range(0, len(out), STEP_WORDS):  # in steps, since a word's n-grams take many times its input's room
+            cut = words.char_cut[k : k + STEP_WORDS + 1]
+            sums = np.zeros((cut[-1] - cut[0] + 1, CHAR_DIM))
+            np.cumsum(self.p["char"][words.char_row[cut[0] : cut[-1]]], axis=0, dtype=np.float64, out=sums[1:])
+            cut = cut - cut[0]
+            out[k : k + len(cut) - 1, WORD_DIM:] = (sums[cut[1:]] - sums[cut[:-1]]) / np.maximum(1, np.diff(cut))[:, None]
+        return out
 
     def _direction(self, d: str, gates: np.ndarray, keep: bool):
         """States over time for projected inputs ``gates`` (time, window, 3 HIDDEN)."""
@@ -272,10 +278,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, li
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, limit=limit).p)
 
     def run(batches):
+        forget()
         net = Network()
         net.p = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 21):
+            for piece in pieces(batch, "text"):
                 yield piece.filter(pa.array(score_texts(net, *string_bytes(piece.column("text"))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
@@ -287,10 +294,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        forget()
         net = Network()
         net.p = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 21):
+            for piece in pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score_texts(net, *string_bytes(piece.column(1))))], names=[id_column, "score"])
 
     scored = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {id_type}, score double")
