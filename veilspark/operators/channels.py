@@ -85,6 +85,9 @@ def _runs(toks: DataFrame, keys: DataFrame, guard: bool) -> DataFrame:
     ahead = F.collect_list(F.struct("end", "ci", "ck", "start")).over(w.rowsBetween(0, M.MAX_RUN - 1))
     t = t.select("part_id", "i", "start", F.lag("end").over(w).alias("before_end"), F.lag("ci").over(w).alias("before"), F.collect_list(F.struct("start", "ci")).over(w.rowsBetween(1, M.MAX_RUN)).alias("after"), ahead.alias("run"))
     t = t.where(F.length(F.get("run", F.lit(0))["ci"]) > 0)
+    # a run can only be a term if its first token begins one
+    starts = keys.select(normalize("key").alias("k")).select(F.explode(F.expr("transform(sequence(1, length(k)), i -> substring(k, 1, i))")).alias("begins")).distinct()
+    t = t.withColumn("begins", F.get("run", F.lit(0))["ci"]).join(_small(starts), "begins", "left_semi")
     latin = r"[a-z0-9_-]"
     cut = t.select("*", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n"))
     part = F.slice("run", F.lit(1), F.col("n"))
