@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64
-from veilspark.llm.common import RID, held_out, keyed, pieces, release, string_bytes, written
+from veilspark.llm.common import RID, forget, held_out, keyed, pieces, release, string_bytes, written
 from veilspark.llm.quality import white
 from veilspark.llm.toxicity import LOWER
 
@@ -71,8 +71,9 @@ def unigrams(docs: DataFrame) -> DataFrame:
     """(w, pool, n) of the training texts; the end is not among them."""
 
     def run(batches):
+        forget()
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 23):
+            for piece in pieces(batch, "text", 1 << 21):
                 w, pool, _ = word_hashes(*string_bytes(piece.column(0)))
                 w, at, n = np.unique(w, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(pool[at]), pa.array(n)], names=["w", "pool", "n"])
@@ -91,6 +92,7 @@ def type_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
+        forget()
         known = shared.value
         table = np.zeros(n_types * n_types, dtype=np.int64)
         for _, (w, pool, cuts) in _pieces_of(batches, 0, "text"):
@@ -259,6 +261,7 @@ def score_corpus(docs: DataFrame, id_column: str = "doc_id", broadcast_words: in
         vocabulary = spark.sparkContext.broadcast((w_known[order], n_known[order]))
 
         def direct(batches):
+            forget()
             for batch in batches:
                 for piece in pieces(batch, "text"):
                     yield scored(piece, *vocabulary.value)
@@ -270,6 +273,7 @@ def score_corpus(docs: DataFrame, id_column: str = "doc_id", broadcast_words: in
 
     def ask(batches):
         """The distinct words of a chunk's part in this task."""
+        forget()
         for batch in batches:
             parts = batch.column(0).to_numpy()
             for k in np.unique(parts):

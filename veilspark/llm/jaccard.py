@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64
-from veilspark.llm.common import RID, keyed, pieces, release, sent, string_bytes, written
+from veilspark.llm.common import RID, forget, keyed, pieces, release, sent, string_bytes, written
 from veilspark.llm.components import components
 from veilspark.llm.quality import white
 from veilspark.llm.toxicity import LOWER
@@ -234,6 +234,7 @@ def document_sets(docs: DataFrame, id_column: str) -> DataFrame:
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        forget()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 hashes, cuts = shingle_hashes(*string_bytes(piece.column(2)))
@@ -247,6 +248,7 @@ def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
     """Rows (sig, s) of every bucket that holds two sets or more."""
 
     def emit(batches):
+        forget()
         seen: set[int] = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -261,6 +263,7 @@ def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
 
     def meeting(batches):
         """Of rows in order of (sig, s): the distinct ones whose sig has another s. A run may span batches."""
+        forget()
         last_sig = last_s = None
         told = True  # whether the last distinct row has been sent or is known to be alone so far
         for batch in batches:
@@ -298,6 +301,7 @@ def _wide_filter(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     """The pairs (a, b) whose wide sketches leave a link possible."""
 
     def run(batches):
+        forget()
         for batch in batches:
             keep = [wide_near(x, y, n) for x, y, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -317,6 +321,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     held = docs.select(RID, "text").join(F.broadcast(asked) if few else asked, RID).select("s", "text")
 
     def shingles(batches):
+        forget()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 hashes, cuts = shingle_hashes(*string_bytes(piece.column(1)))

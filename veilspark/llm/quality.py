@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64
-from veilspark.llm.common import held_out, pieces, string_bytes
+from veilspark.llm.common import forget, held_out, pieces, string_bytes
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -146,6 +146,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        forget()
         weights, bias = shared.value
         for batch in batches:
             for piece in pieces(batch, "text"):

@@ -20,9 +20,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veilspark.llm.common import held_cache, trim
+
 MARK = "▁"
-UNITS_KEPT = 1_000_000  # units remembered by one worker
-PAIRS_KEPT = 500_000
+UNITS_KEPT = 700_000  # units remembered by one worker
+TASK_UNITS = 150_000  # units remembered where none outlive a task
+PAIRS_KEPT = 300_000
 
 
 def load_vocabulary(model_file: str) -> dict:
@@ -139,6 +142,9 @@ class PieceCodec:
         return taken
 
     def _encode_unit(self, unit: str) -> bytes:
+        if self._known.issuperset(unit):
+            whole = self.backtrack(unit)
+            return struct.pack(f"<{len(whole)}I", *whole)
         ids: list[int] = []
         run = ""
         for ch in unit:
@@ -214,28 +220,31 @@ class PieceCodec:
         return len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded)
 
 
-_CODECS: dict[str, PieceCodec] = {}
+_CODECS: dict[int, PieceCodec] = held_cache({})
 
 
-def _codec(shared) -> PieceCodec:
-    """One codec for a worker's life: what it remembers serves later tasks too."""
-    key = str(len(shared.value["pieces"])) + str(hash(tuple(shared.value["pieces"])))
+def _codec(vocabulary: dict) -> PieceCodec:
+    """One codec for a worker's life: what it remembers serves later tasks of this operator too."""
+    key = hash(tuple(vocabulary["pieces"]) + tuple(vocabulary["scores"]))
     if key not in _CODECS:
-        _CODECS[key] = PieceCodec(shared.value)
+        _CODECS[key] = PieceCodec(vocabulary)
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, model_file: str, id_column: str = "doc_id", ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, id_column: str = "doc_id", ids: bool = False, remember: bool = True) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256, decoded_bytes; with ``ids`` also the ids themselves.
 
-    Row-local: no shuffle. The vocabulary is read on the driver and sent once to each executor.
+    Row-local: no shuffle. The vocabulary is read on the driver and sent once to each executor. With ``remember``
+    a worker keeps its units for later tasks; without, as in a pipeline whose other stages need the room, a task
+    keeps fewer and none outlive it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
     id_type = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, decoded_bytes bigint" + ", ids array<int>" * ids
 
     def run(batches):
-        codec = _codec(shared)
+        trim()
+        codec = _codec(shared.value) if remember else PieceCodec(shared.value, TASK_UNITS)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [codec.row(t) for t in texts]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64, sliding_argmin
-from veilspark.llm.common import RID, keyed, pieces, release, string_bytes, written
+from veilspark.llm.common import RID, forget, keyed, pieces, release, string_bytes, written
 
 LENGTH = 200
 KEY = 51
@@ -43,7 +43,8 @@ MERGE_STARTS = 1 << 20
 SHARD_STRINGS = 1024
 #: Spans that are broadcast at most, to cut the texts; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
-PIECE = 1 << 21
+PIECE = 1 << 20
+SPANS = "_veil_spans"
 
 
 def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: int = KEY):
@@ -184,6 +185,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     """(key, stretch, n): stretches counted within each piece of a task's texts."""
 
     def run(batches):
+        forget()
         for piece in _each_piece(batches, "text"):
             _, _, _, key, stretch = segments(*string_bytes(piece.column(0)))
             order = np.lexsort((key, stretch))
@@ -215,6 +217,7 @@ def _marks(docs: DataFrame, states: DataFrame) -> DataFrame:
     """Each segment whose stretch has a state: RID, first start, number of starts, key, stretch, state."""
 
     def run(batches):
+        forget()
         for piece in _each_piece(batches, "text"):
             text, start, many, _, stretch = segments(*string_bytes(piece.column(1)))
             rid = piece.column(0).to_numpy()
@@ -229,6 +232,7 @@ def _stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
     grouped = written(asked.groupBy(RID).agg(F.collect_list(F.struct("key", "at", "many", "open")).alias("asked")), "asked")
 
     def run(batches):
+        forget()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for rid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -259,6 +263,7 @@ def _merged(stretches: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rid[text][keep]), pa.array(lo_at[keep]), pa.array(hi_at[keep])], names=[RID, "lo", "hi"])
 
     def run(batches):
+        forget()
         rows: list = []
         starts = 0
         for batch in batches:
@@ -279,6 +284,7 @@ def _counted_strings(stretches: DataFrame) -> DataFrame:
     """Spans of repeated strings among the stretches of keys that are too large to merge, by counting hashes."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for k in range(batch.num_rows):
                 rid, at, many, raw = (batch.column(c)[k].as_py() for c in (1, 2, 3, 5))
@@ -343,6 +349,7 @@ def report(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        forget()
         for batch in batches:
             out = []
             for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -353,7 +360,7 @@ def report(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _with_spans(docs, id_column)
-    return joined.select(id_column, "text", "spans").mapInArrow(run, f"`{id_column}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.select(id_column, "text", SPANS).mapInArrow(run, f"`{id_column}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -364,8 +371,9 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     columns = docs.columns
 
     def run(batches):
+        forget()
         for batch in batches:
-            text, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            text, spans = batch.column("text").to_pylist(), batch.column(SPANS).to_pylist()
             new = [t if not x else _cut_text(t.encode("utf-8"), [(s["lo"], s["hi"]) for s in x])[0].decode("utf-8", "ignore") for t, x in zip(text, spans)]
             out = {c: batch.column(c) for c in columns}
             if "n_chars" in out:
@@ -373,11 +381,11 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
             out["text"] = pa.array(new, out["text"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
 
-    return _with_spans(docs, id_column, *[c for c in columns if c not in (id_column, "text")]).select(*columns, "spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, id_column, *[c for c in columns if c not in (id_column, "text")]).select(*columns, SPANS).mapInArrow(run, docs.schema)
 
 
 def _with_spans(docs: DataFrame, id_column: str, *others: str) -> DataFrame:
     d = keyed(docs, "text", *others, id_column=id_column)
-    spans = repeated_spans(d)
-    rows = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    spans = repeated_spans(d).withColumnRenamed("spans", SPANS)
+    rows = spans.agg(F.sum(F.size(SPANS))).first()[0] or 0
     return d.join(F.broadcast(spans) if rows <= BROADCAST_ROWS else spans, RID, "left")
