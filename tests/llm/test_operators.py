@@ -218,6 +218,22 @@ def test_fixity(spark):
     assert audit(leaves(pages.limit(0)), leaves(pages.limit(0))).count() == 0
 
 
+def test_fixity_losses(spark):
+    from veilspark.llm.warcfixity import audit, leaves
+
+    from pyspark.sql import functions as F
+
+    data = [(k, f"http://h/{k}", "<p>" * (k % 7)) for k in range(3050)] + [(None, "u", "x"), (5, None, "dup"), (5, None, "dup")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    full, cut = leaves(pages), leaves(pages.where("coalesce(page_id, 0) not in (7, 1999) and coalesce(page_id, 0) < 3000 and (page_id <> 5 or url is not null) is not false"), longer=F.col("page_id") == 1500)
+    gone = {7, 1999, *range(3000, 3050)}
+    for ours, theirs, name in ((full, cut, "missing"), (cut, full, "extra")):
+        out = audit(ours, theirs).collect()
+        told = collections.Counter((r["page_id"], r["status"]) for r in out if not r["intact"])
+        assert told == collections.Counter([*((k, name) for k in gone), (5, name), (5, name), (1500, "damaged")])
+        assert len(out) == len(data) and all(r["intact"] == (r["status"] == "intact") for r in out)
+
+
 def test_language_model(spark, rows):
     from veilspark.llm.brown import score_corpus
 

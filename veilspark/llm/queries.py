@@ -52,6 +52,12 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drill(table(spark, sf_dir, "pages"))
 
 
+def op6_warc_fixity_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.warcfixity import drill_both
+
+    return drill_both(table(spark, sf_dir, "pages"))
+
+
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.brown import score_corpus
 

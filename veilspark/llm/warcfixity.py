@@ -3,11 +3,14 @@
 Pages become WARC resource records; an archive holds the records of ID_RANGE consecutive page ids in order of id,
 and a record's offset is the length of all before it. A record's hash is a leaf; FANOUT consecutive nodes with their
 offset ranges are hashed into a node above, up to one root an archive. An audit compares two replicas' roots and
-then, level by level, only the children of nodes that differ; leaves that differ are the damaged records.
+then, level by level, only the children of nodes that differ. Where leaves differ, the records of both replicas are
+aligned, first by id and hash, then by id, so that a record that only moved, since one before it was lost, added or
+grew, stays intact. After such a record the descent reaches all later leaves of its archive.
 
 A null html is an empty body, a null url an empty URI. Pages without id share 1024 archives of their own by content.
-Repeated rows are repeated records; equal ids are ordered by hash. Records that only one replica has count as
-damaged. An empty table gives an empty result; other columns do not matter.
+Repeated rows are repeated records; equal ids are ordered by hash. Records that only one replica has are returned as
+missing (ours) or extra (theirs); a record without id that changed is one of each. An empty table gives an empty
+result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -38,14 +41,17 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def leaves(pages: DataFrame, altered: Column | None = None) -> DataFrame:
+def leaves(pages: DataFrame, altered: Column | None = None, longer: Column | None = None) -> DataFrame:
     """Per record: page_id, archive, seq, offset, length, sha256.
 
-    ``altered``, if given, marks pages whose last record byte a replica holds wrong (for drills and tests).
+    ``altered`` and ``longer``, if given, mark pages whose last record byte a replica holds wrong, or followed by
+    another one (for drills and tests).
     """
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
     if altered is not None:
         text = F.when(altered, F.concat(F.substring(text, 1, F.length(text) - 1), F.lit("\t"))).otherwise(text)
+    if longer is not None:
+        text = F.when(longer, F.concat(text, F.lit("\t"))).otherwise(text)
     archive = F.coalesce(F.floor(F.col("page_id") / ID_RANGE).cast("bigint"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1024)))
     rows = pages.select("page_id", archive.alias("archive"), text.alias("record"))
     rows = rows.select("page_id", "archive", F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("sha256"))
@@ -82,20 +88,57 @@ def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Our leaves with ``intact``: whether the other replica holds the same bytes at the same place."""
+    """The records of both replicas with ``status`` and ``intact``, at our places, or at theirs where only they have one.
+
+    intact: the other replica holds the same bytes; damaged: it holds other bytes under the id; missing: it holds no
+    such record; extra: only it holds the record.
+    """
     ours, theirs = written(ours, "leaves"), written(theirs, "leaves")
     trees = [tree(ours), tree(theirs)]
     height = max(map(len, trees))
     for t in trees:  # the lower tree's roots are hashed on, alone, to the height of the other
         while len(t) < height:
             t.append(t[-1].select("archive", F.floor(F.col("seq") / FANOUT).cast("bigint").alias("seq"), "offset", "length", F.sha2("sha256", 256).alias("sha256")))
-    bad = differing(*trees).withColumn("damaged", F.lit(True))
-    return ours.join(bad, ["archive", "seq"], "left").select("page_id", "archive", "offset", "length", "sha256", F.col("damaged").isNull().alias("intact"))
+    bad = written(differing(*trees), "differing")
+    return ours.join(bad, ["archive", "seq"], "left_anti").select(*_RECORD, F.lit("intact").alias("status"), F.lit(True).alias("intact")).unionByName(
+        _aligned(*(x.join(bad, ["archive", "seq"], "left_semi") for x in (ours, theirs)))
+    )
+
+
+_RECORD = ("page_id", "archive", "offset", "length", "sha256")
+
+
+def _aligned(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The leaves of differing branches, matched as bags: equal records one to one, then those left by their id."""
+    both = ours.withColumn("mine", F.lit(True)).unionByName(theirs.withColumn("mine", F.lit(False)))
+
+    def paired(df: DataFrame, *key: str) -> DataFrame:
+        nth = df.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "mine").orderBy("seq")))
+        return nth.withColumn("pair", F.count(F.lit(1)).over(Window.partitionBy(*key, "nth")) == 2)
+
+    same = paired(both, "archive", "page_id", "length", "sha256").withColumn("same", F.col("pair"))
+    told = paired(same, "archive", "page_id", "same")
+    kept = told.where(F.col("mine") | ~(F.col("same") | (F.col("pair") & F.col("page_id").isNotNull())))
+    status = F.when(F.col("same"), "intact").when(F.col("pair") & F.col("page_id").isNotNull(), "damaged").when(F.col("mine"), "missing").otherwise("extra")
+    return kept.select(*_RECORD, status.alias("status"), F.col("same").alias("intact"))
+
+
+def _replica(pages: DataFrame, every: int) -> DataFrame:
+    """A replica in which each ``every``-th page's record is, in turn, altered in a byte, lost, or longer by one."""
+    hit = F.coalesce(F.col("page_id") % every == 0, F.lit(False))
+    kind = F.pmod(F.floor(F.col("page_id") / every), F.lit(3))
+    return leaves(pages.where(~(hit & F.coalesce(kind == 1, F.lit(False)))), hit & (kind == 0), hit & (kind == 2))
 
 
 def drill(pages: DataFrame, every: int = 97) -> DataFrame:
     """A fixity drill: audit the archives against a replica in which each ``every``-th page's record is damaged."""
-    return audit(leaves(pages), leaves(pages, F.coalesce(F.col("page_id") % every == 0, F.lit(False))))
+    return audit(leaves(pages), _replica(pages, every)).drop("status")
+
+
+def drill_both(pages: DataFrame, every: int = 97) -> DataFrame:
+    """The same drill, where our side has also lost records: each ``every``-th but one, which the replica still has."""
+    lost = F.coalesce(F.col("page_id") % every == 1, F.lit(False))
+    return audit(leaves(pages.where(~lost)), _replica(pages, every))
 
 
 ORACLE = r"""
