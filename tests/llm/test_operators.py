@@ -111,6 +111,20 @@ def test_html():
         assert len(shared_lines(a, b)) == best
 
 
+def test_html_keeps_what_holds_the_article():
+    from veilspark.llm.pagediff import main_text, page_lines
+
+    text = lambda page: main_text(page_lines(page), None)
+    long = "words of the page " * 9
+    for name in ("content with-sidebar", "has-sidebar", "no-ads", "sidebar"):
+        assert text(f"<div class='{name}'><article><h1>T</h1><p>a</article></div><div class=ad>x</div>") == "T\na"
+    for head in ("<header class='entry-header'><h1>T</h1></header>", "<div class='article-header'><h1>T</h1></div>"):
+        assert text(f"<div class='site-header'>s</div><article>{head}<p>a</article>") == "T\na"
+    assert text(f"<form><div class='page widget'><p>{long}</div></form><div class=ad>x</div>") == long.strip()
+    assert text(f"<article><p>a</article><div class=comments><article>{long}</article></div><nav>{long}</nav>") == "a"
+    assert text("<main><h1>T</h1><p>a <span class=share>b</span> c</main><div hidden><article>x</article></div>") == "T\na c"
+
+
 def _inside(x, y):
     it = iter(y)
     return all(v in it for v in x)

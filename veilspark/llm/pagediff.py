@@ -1,7 +1,8 @@
 """Operator 2: main text of web pages by differencing each page with its nearest URL.
 
 A page is cut into lines (blocks) in page order. Lines in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, as their elements, roles or class names say, are left out. Each page is then paired
+forms and reader comments, as their elements, roles or class names say, are left out, but never an element that
+holds the page's article, or most of its text where only a class name, id or form says so. Each page is then paired
 with the page of the same host whose path is nearest in sort order (the longer common prefix of the neighbours
 before and after), the two line lists are aligned by their longest common subsequence, and shared lines are
 deleted: anywhere on a page without an article element, and inside an article where the line is only links or
@@ -36,41 +37,69 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
-def _left_out(tag: str, attributes: str, in_main: bool) -> bool:
+#: Class names that say what a page has or lacks, not what the element is.
+MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S*", re.I)
+#: Of the hints, those that name a part of an article too, and those that hold other people's articles.
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|respond|replies|reply|related|recommended)(?:$|[\s_-])", re.I)
+
+
+def _left_out(tag: str, attributes: str, in_main: bool) -> str:
+    """Why an element is left out: hidden, element, replies, hint; empty where it is not."""
+    why = ""
     if tag in OUT or (tag == "header" and not in_main):
-        return True
+        why = "hint" if tag == "form" else "element"
     if not attributes or tag in MAIN or tag in ("html", "body"):
-        return False
+        return why
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
-            return True
-        if name in ("class", "id") and HINT.search(value):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return "hidden"
+        if name == "role" and value.lower() in ROLES:
+            why = why or ("hint" if value.lower() == "form" else "element")
+        if name in ("class", "id"):
+            value = MODIFIER.sub(" ", value)
+            value = HEADER.sub(" ", value) if in_main else value
+            if HINT.search(value):
+                why = "replies" if REPLIES.search(value) else why or "hint"
+    return why
+
+
+class _Gone:
+    """An open or closed element that is to be left out, and what stands in it."""
+
+    def __init__(self, why: str):
+        self.why, self.size, self.main_size, self.holds, self.kept = why, 0, 0, set(), False
+
+    def settle(self, size: int, main_size: int) -> None:
+        """Keep it where it holds the article or most of the page's text (of ``size``, in articles ``main_size``)."""
+        if self.why == "hidden":
+            return
+        other = main_size - self.main_size
+        if "main" in self.holds or (self.holds and (not other or (self.why != "replies" and self.main_size >= other))):
+            self.kept = True
+        elif self.why == "hint" or (self.why == "replies" and not main_size):
+            self.kept = 2 * self.size > size
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool, bool]]:
     """Lines of a page in order: text, whether inside an article or main element, whether only links."""
-    lines: list[tuple[str, bool, bool]] = []
-    parts: list[str] = []
-    linked = plain = False
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
-    out = main = links = 0
+    found: list[tuple[list[tuple[str, tuple[_Gone, ...], bool]], bool]] = []  # lines: their parts, whether in an article
+    parts: list[tuple[str, tuple[_Gone, ...], bool]] = []  # text, elements around it that may be left out, whether a link
+    stack: list[tuple[str, bool]] = []  # open elements, and whether each may be left out
+    out: tuple[_Gone, ...] = ()
+    gone: list[_Gone] = []
+    main = links = size = main_size = 0
 
     def close_line():
-        nonlocal linked, plain
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                lines.append((text, main > 0, linked and not plain))
+            found.append((parts.copy(), main > 0))
             parts.clear()
-        linked = plain = False
 
     def pop():
         nonlocal out, main, links
-        tag, gone = stack.pop()
-        out -= gone
+        tag, left = stack.pop()
+        out = out[:-1] if left else out
         main -= tag in MAIN
         links -= tag == "a"
 
@@ -79,10 +108,12 @@ def page_lines(page: str | None) -> list[tuple[str, bool, bool]]:
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
-        if text and not out:
-            parts.append(text)
-            if not text.isspace():
-                linked, plain = linked or links > 0, plain or not links
+        if text:
+            parts.append((text, out, links > 0))
+            n = len(text.strip())
+            size, main_size = size + n, main_size + n * (main > 0)
+            for g in out:
+                g.size, g.main_size = g.size + n, g.main_size + n * (main > 0)
         if not m:
             break
         at = m.end()
@@ -106,8 +137,8 @@ def page_lines(page: str | None) -> list[tuple[str, bool, bool]]:
         if tag in ("br", "hr", "img", "wbr"):
             if tag == "hr":
                 close_line()
-            elif not out and tag == "br":
-                parts.append("\n")
+            elif tag == "br":
+                parts.append(("\n", out, links > 0))
             continue
         if tag not in INLINE:
             close_line()
@@ -120,12 +151,26 @@ def page_lines(page: str | None) -> list[tuple[str, bool, bool]]:
                 pop()
         if tag in VOID or attributes.endswith("/"):
             continue
-        gone = _left_out(tag, attributes, main > 0)
-        stack.append((tag, gone))
-        out += gone
+        if tag in MAIN:
+            for g in out:
+                g.holds.add(tag)
+        why = _left_out(tag, attributes, main > 0)
+        if why:
+            gone.append(_Gone(why))
+            out = (*out, gone[-1])
+        stack.append((tag, bool(why)))
         main += tag in MAIN
         links += tag == "a"
     close_line()
+    for g in gone:
+        g.settle(size, main_size)
+    lines: list[tuple[str, bool, bool]] = []
+    for line, inside in found:
+        line = [p for p in line if all(g.kept for g in p[1])]
+        text = " ".join(entities.unescape("".join(p[0] for p in line)).split())
+        if text:
+            said = [p[2] for p in line if not p[0].isspace()]
+            lines.append((text, inside, all(said)))
     return lines
 
 
