@@ -139,6 +139,17 @@ def test_html_table(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies(spark):
+    from veilspark.llm.pagediff import extract
+
+    pages = lambda n: [(k, f"http://h/a/{k}", f"<div>Top</div><p>{'Mine' if k < n else f'Other {k}'}</p><div>End</div>") for k in range(n + 2)]
+    for n in (1, 5):
+        got = extract(spark.createDataFrame(pages(n), "page_id bigint, url string, html string").coalesce(1)).collect()
+        assert {(r["page_id"], r["text"]) for r in got} == {*((k, "Mine") for k in range(n)), (n, f"Other {n}"), (n + 1, f"Other {n + 1}")}
+    got = extract(spark.createDataFrame(pages(5)[:5], "page_id bigint, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"Top\nMine\nEnd"}
+
+
 def test_sentencepieces(spark, rows):
     import sentencepiece
 

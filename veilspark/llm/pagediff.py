@@ -3,13 +3,14 @@
 A page is cut into lines (blocks) in page order. Lines in menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments, as their elements, roles or class names say, are left out, but never an element that
 holds the page's article, or most of its text where only a class name, id or form says so. Each page is then paired
-with the page of the same host whose path is nearest in sort order (the longer common prefix of the neighbours
-before and after), the two line lists are aligned by their longest common subsequence, and shared lines are
+with the page of the same host whose path is nearest in sort order and that is not its copy (the longer common
+prefix of the pages before and after the run of copies it stands in), the two line lists are aligned by their longest common subsequence, and shared lines are
 deleted: anywhere on a page without an article element, and inside an article where the line is only links or
-stands in a list of them. Two pages that share nearly all lines are copies of one page; nothing is deleted then.
+stands in a list of them. Two pages that share nearly all lines are copies of one page; nothing is deleted where all
+pages of the host that a task holds are copies of one.
 
 Pages are dealt out by ranges of (host, path), so a large host spreads over many tasks; the first page of a
-range takes the page after it. A null or empty html gives the empty text; a null url is a host of its own kind
+range takes the page after it. A run of copies is held by its task until the page after it comes. A null or empty html gives the empty text; a null url is a host of its own kind
 without path. Repeated rows are answered each, other columns do not matter, an empty table gives an empty one.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -201,13 +203,21 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def copies(a: list, b: list) -> bool:
+    """Whether two line lists share nearly all lines in order."""
+    most = max(len(a), len(b))
+    if a == b:
+        return True
+    if min(len(a), len(b)) < COPY_SHARE * most or (Counter(t for t, _, _ in a) & Counter(t for t, _, _ in b)).total() < COPY_SHARE * most:
+        return False
+    return len(shared_lines([t for t, _, _ in a], [t for t, _, _ in b])) >= COPY_SHARE * most
+
+
 def main_text(lines: list[tuple[str, bool, bool]], partner: list[tuple[str, bool, bool]] | None) -> str:
     has_main = any(inside for _, inside, _ in lines)
     shared: set[int] = set()
-    if partner:
+    if partner and not copies(lines, partner):
         shared = shared_lines([t for t, _, _ in lines], [t for t, _, _ in partner])
-        if len(shared) >= COPY_SHARE * max(len(lines), len(partner)):
-            shared = set()
     return "\n".join(t for i, (t, inside, links) in enumerate(lines) if inside >= has_main and not (i in shared and (links or not has_main)))
 
 
@@ -230,14 +240,19 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "line", "inside", "links"])
 
     def differ(batches):
-        rows: list = []  # at most one row before, the row itself and the one after
-
-        def answer(k):
-            page_id, url, host, path, lines = rows[k]
-            near = [(rows[i][3], rows[i][4]) if 0 <= i < len(rows) and rows[i][2] == host else None for i in (k - 1, k + 1)]
-            partner = _nearer(path, *near)
-            text = main_text(lines, partner[1] if partner else None)
-            return page_id, url, text, len(text)
+        before, run = None, []  # the row before a run of copies, and the run; exact copies share their lines
+
+        def answers(after):
+            known: dict = {}
+            for page_id, url, host, path, lines in run:
+                near = [(x[3], x[4]) if x and x[2] == host else None for x in (before, after)]
+                partner = _nearer(path, *near)
+                if partner and all(near) and copies(lines, partner[1]):  # no copy of the run's first page, but of this one
+                    partner = near[0] if partner is near[1] else near[1]
+                key = (id(lines), id(partner and partner[1]))
+                if key not in known:
+                    known[key] = main_text(lines, partner[1] if partner else None)
+                yield page_id, url, known[key], len(known[key])
 
         def packed(done, like):
             types = (like.column(0).type, like.column(1).type, pa.string(), pa.int64())
@@ -247,13 +262,15 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             done, last = [], batch
             for page_id, url, host, path, line, inside, links in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append((page_id, url, host, path, list(zip(line, inside, links))))
-                if len(rows) >= 2:
-                    done.append(answer(len(rows) - 2))
-                    del rows[:-2]
+                row = (page_id, url, host, path, list(zip(line, inside, links)))
+                if run and run[0][2] == host and copies(row[4], run[0][4]):
+                    run.append((*row[:4], run[0][4]) if row[4] == run[0][4] else row)
+                    continue
+                done += answers(row)
+                before, run = run[-1] if run else None, [row]
             yield packed(done, batch)
-        if rows:
-            yield packed([answer(len(rows) - 1)], last)
+        if run:
+            yield packed(list(answers(None)), last)
 
     lines = pages.select("page_id", "url", "html").mapInArrow(cut, f"{ids}, line array<string>, inside array<boolean>, links array<boolean>")
     address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
