@@ -403,13 +403,13 @@ def bundle_mapping(spark, sf_dir):
 SELECT conv_id AS bundle_id, turn AS part_id, string_agg(coalesce(p, surface), '' ORDER BY k) AS masked_text FROM cut LEFT JOIN num USING (conv_id, surface) GROUP BY 1, 2""")
 def bundle_masked(spark, sf_dir):
     parts, mapping = _conversation_mapping(spark, sf_dir)
-    return rewrite.apply_mapping(parts, mapping).where("text <> ''").select("bundle_id", "part_id", "masked_text")
+    return rewrite.apply_mapping(parts, mapping).select("bundle_id", "part_id", "masked_text")
 
 
 @query("bundle_unmask", "SELECT conv_id AS bundle_id, turn AS part_id, text AS restored FROM conversations WHERE text <> ''")
 def bundle_unmask(spark, sf_dir):
     parts, mapping = _conversation_mapping(spark, sf_dir)
-    return rewrite.unmasked(rewrite.apply_mapping(parts.where("text <> ''"), mapping), mapping).select("bundle_id", "part_id", "restored")
+    return rewrite.unmasked(rewrite.apply_mapping(parts, mapping), mapping).select("bundle_id", "part_id", "restored")
 
 
 @query("flatten_tables", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
@@ -422,7 +422,7 @@ def flatten_tables(spark, sf_dir):
 
 @query("bracket_pad", "SELECT doc_id, regexp_replace(regexp_replace(text, '(\\S)([(\\[{])', '\\1 \\2', 'g'), '([)\\]}])(\\S)', '\\1 \\2', 'g') AS padded FROM documents WHERE regexp_matches(text, '[()\\[\\]{}]') AND NOT regexp_matches(text, '[()\\[\\]{}][()\\[\\]{}]')")
 def bracket_pad(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[()\[\]{}]") & ~F.col("text").rlike(r"[()\[\]{}][()\[\]{}]"))
+    d = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[()\[\]{}]"))
     return d.select("doc_id", P.pad_brackets(F.col("text")).alias("padded"))
 
 
@@ -535,6 +535,12 @@ def subword_counts(spark, sf_dir):
     return w.select("surface", F.size(S.subwords(F.col("surface"))).cast("bigint").alias("parts"))
 
 
+@query("subword_counts_all")
+def subword_counts_all(spark, sf_dir):
+    """Of all words: also of those with capitals in a row, which the SQL of subword_counts cannot cut."""
+    return _words(spark, sf_dir).select("surface", F.size(S.subwords(F.col("surface"))).cast("bigint").alias("parts"))
+
+
 @query("masked_corpus")
 def masked_corpus(spark, sf_dir):
     """The flagship plan over all documents: dictionary, contacts, consensus, numbering, rewriting."""
