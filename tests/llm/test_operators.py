@@ -281,6 +281,49 @@ def test_language_model(spark, rows):
     assert score_corpus(docs.limit(0)).count() == 0
 
 
+def test_every_word_is_placed(spark):
+    from pyspark.sql import functions as F
+    from veilspark.llm import brown
+
+    rng = np.random.default_rng(1)
+    n_c, n_w = brown.CLASSES + 1, 60
+    of = rng.integers(0, n_c - 1, n_w + 1)
+    of[-1] = n_c - 1
+    b = rng.poisson(0.7, (n_w + 1, n_w + 1)).astype(float)
+    hot = np.eye(n_c)[of]
+    table = hot.T @ b @ hot
+    bare = b - np.diag(np.diag(b))
+    got = brown.best_classes(table, of[:-1], (bare.T @ hot)[:-1], (bare @ hot)[:-1], np.diag(b)[:-1])
+
+    def moved(t, k):
+        new = of.copy()
+        new[t] = k
+        return brown.likelihood(np.eye(n_c)[new].T @ b @ np.eye(n_c)[new])
+
+    for t in range(n_w):
+        assert moved(t, got[t]) >= max(moved(t, k) for k in range(n_c - 1) if table[:, k].any()) - 1e-6
+
+    r = random.Random(3)
+    many = [(k, " ".join(x for _ in range(40) for x in (r.choice("ab"), r.choice(("p", f"x{r.randrange(90)}ss")), "mid", r.choice(("q", f"y{r.randrange(90)}ss"))))) for k in range(60)]
+    docs = frame(spark, many).withColumn("held_out", F.lit(False))
+    counts = brown.written(brown.unigrams(docs), "unigrams")
+    for words_sent in (10**6, 0):
+        start, _, before = brown.fit(docs.withColumn(brown.RID, F.col("doc_id")), counts, words_sent, types_top=5, rounds=0)
+        model, _, known = brown.fit(docs.withColumn(brown.RID, F.col("doc_id")), counts, words_sent, types_top=5)
+        of_word = lambda known: {x["w"]: x["c"] for x in known.collect()}
+        old, new = of_word(before), of_word(known)
+        assert old.keys() == new.keys() and old != new
+        flat = brown.string_bytes(brown.pa.array([t for _, t in many]))
+        w, _, cuts = brown.word_hashes(*flat)
+
+        def tallied(of):
+            line = brown._line(np.array([of[x] for x in w.tolist()]), cuts)[0]
+            return np.bincount(line[:-1] * n_c + line[1:], minlength=n_c * n_c).reshape(n_c, n_c)
+
+        assert brown.likelihood(tallied(new)) > brown.likelihood(tallied(old))
+        assert (model.class_tokens == tallied(new).sum(axis=0)).all()
+
+
 def test_exchange_raises_likelihood():
     from veilspark.llm.brown import exchange
 

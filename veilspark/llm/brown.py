@@ -7,13 +7,16 @@ training part of the whole corpus, spread over the cluster:
 * bigrams of word types: the TYPES_TOP most frequent words are a type each, all others share TYPES_REST pools by a
   hash of their last bytes and length, so that the table is bounded whatever the vocabulary;
 * exchange clustering on the driver moves one type at a time to the class that raises the likelihood of the class
-  bigrams most, until a pass moves none (or PASSES passes).
+  bigrams most, until a pass moves none (or PASSES passes);
+* every word beyond the types then moves, all at once in each of ROUNDS rounds, from its pool's class to the class
+  that its own counts of classes before and after it favour most, by the same gain. A round holds if the likelihood
+  of the class bigrams, counted anew over the whole training part, rises.
 
-A word has the class of its type. The model's probability of a word is P(class | class before) * P(word | class),
+A word not seen in training has the class of its pool. The model's probability of a word is P(class | class before) * P(word | class),
 both smoothed: transitions with the class unigram, emissions by adding ADD to every known word of the class and
 to one unknown word. Texts start in a class of their own; the end is a class of its own with one word.
 
-A vocabulary of up to BROADCAST_WORDS words is sent to all executors as two sorted arrays (12 bytes a word). A larger
+A vocabulary of up to BROADCAST_WORDS words is sent to all executors as sorted arrays (13 bytes a word). A larger
 one is looked up by joins: texts are gathered into chunks, a chunk asks for the counts of its distinct words, and
 answers meet the chunk's texts again. Both ways give the same scores.
 
@@ -38,6 +41,7 @@ CLASSES = 32
 TYPES_TOP = 640
 TYPES_REST = 256
 PASSES = 12
+ROUNDS = 1
 ADD = 0.1
 MIX = 0.9  # weight of the class bigram against the class unigram
 CHUNK_BYTES = 24 << 20
@@ -171,14 +175,45 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return of
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, up to what no class changes."""
+    return float(xlogx(table).sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum())
+
+
+def best_classes(table: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """For each word alone, the class that it joins with the greatest likelihood; its own on ties.
+
+    ``before`` and ``after`` count the classes beside each word without the word itself, ``twice`` the word beside itself.
+    """
+    f, out, n_c = xlogx, np.empty(len(own), dtype=np.int64), len(table)
+    for at in range(0, len(own), 256):
+        c, i, o, s = own[at : at + 256], before[at : at + 256], after[at : at + 256], twice[at : at + 256, None]
+        k = np.arange(len(c))
+        bare = np.repeat(table[None], len(c), axis=0)  # without the word
+        bare[k, c] -= o
+        bare[k, :, c] -= i
+        bare[k, c, c] -= s[:, 0]
+        was = f(bare)
+        rows, cols, diag = bare.sum(axis=2) + i, bare.sum(axis=1) + o, bare[:, np.arange(n_c), np.arange(n_c)]  # totals with the word beside them
+        gain = (f(bare + o[:, None, :]) - was).sum(axis=2) + (f(bare + i[:, :, None]) - was).sum(axis=1)
+        gain += f(diag + o + i + s) - f(diag + o) - f(diag + i) + f(diag)
+        gain -= f(rows + o.sum(axis=1, keepdims=True) + s) - f(rows) + f(cols + i.sum(axis=1, keepdims=True) + s) - f(cols)
+        gain[:, table.sum(axis=0) == 0] = -np.inf  # words that move at once would all meet in an empty class
+        best = np.argmax(gain[:, : n_c - 1], axis=1)
+        out[at : at + 256] = np.where(gain[k, best] > gain[k, c] + 1e-9, best, c)
+    return out
+
+
 class ClassModel:
     """Transitions and emissions; all that scoring needs besides the counts of a text's own words."""
 
-    def __init__(self, top: np.ndarray, of: np.ndarray, bigrams: np.ndarray, class_words: np.ndarray, tokens: int, distinct: int):
+    def __init__(self, top: np.ndarray, of: np.ndarray, table: np.ndarray, class_words: np.ndarray, tokens: int, distinct: int):
         self.top, self.of, self.tokens, self.distinct = top, of, tokens, distinct
         n_c = CLASSES + 1
-        hot = np.eye(n_c)[of]
-        table = hot.T @ bigrams @ hot
         after = table.sum(axis=0)
         uni = (after + 1) / (after.sum() + n_c)
         self.step = np.log10(MIX * (table + uni) / (table.sum(axis=1, keepdims=True) + 1) + (1 - MIX) * uni)
@@ -190,12 +225,11 @@ class ClassModel:
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + ADD) / (self.tokens + ADD * (self.distinct + 1)))
 
-    def score(self, w: np.ndarray, pool: np.ndarray, n: np.ndarray, cuts: np.ndarray, ends: int):
-        """Per text: tokens, known tokens, base score and model score, given each word's training count."""
+    def score(self, c: np.ndarray, n: np.ndarray, cuts: np.ndarray, ends: int):
+        """Per text: tokens, known tokens, base score and model score, given each word's class and training count."""
         many = np.diff(cuts)
-        c = self.of[types_of(w, pool, self.top)] if len(w) else np.zeros(0, np.int64)
-        place = np.arange(len(w)) + np.repeat(np.arange(len(many)), many)
-        line = np.full(len(w) + len(many), CLASSES, dtype=np.int64)  # every text's words, then its end
+        place = np.arange(len(c)) + np.repeat(np.arange(len(many)), many)
+        line = np.full(len(c) + len(many), CLASSES, dtype=np.int64)  # every text's words, then its end
         count = np.full(len(line), ends, dtype=np.float64)
         line[place], count[place] = c, n
         before = np.concatenate(([CLASSES], line[:-1]))
@@ -206,67 +240,147 @@ class ClassModel:
         return many + 1, add((count > 0).astype(np.int64)), add(base), add(model)
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> tuple[ClassModel, int]:
-    """The model, and how many ends were seen. ``counts`` are the written unigrams."""
+def fit(docs: DataFrame, counts: DataFrame, broadcast_words: int = BROADCAST_WORDS, types_top: int = TYPES_TOP, rounds: int = ROUNDS) -> tuple[ClassModel, int, DataFrame]:
+    """The model, how many ends were seen, and (w, n, c): each word's count and class. ``counts`` are the written unigrams."""
     n_end = docs.where(~F.col("held_out")).count()
     # the most frequent words; a report of a fixed size, ties by hash
-    best = counts.orderBy(F.desc("n"), "w").limit(TYPES_TOP).select("w").collect()
+    best = counts.orderBy(F.desc("n"), "w").limit(types_top).select("w").collect()
     top = np.sort(np.array([r[0] for r in best], dtype=np.int64))
     bigrams = type_bigrams(docs, top)
     of = exchange(bigrams)
-    words = np.zeros(CLASSES + 1)
-    np.add.at(words, of[: len(top)], 1)
-    rest = counts.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("t")).collect()  # a row for each pool
-    own = {r["pool"]: 0 for r in rest}
-    for r in counts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(w),) for w in top], "w bigint")), "w").groupBy("pool").count().collect():
-        own[r["pool"]] = r["count"]
-    for r in rest:
-        words[of[len(top) + r["pool"]]] += r["n"] - own[r["pool"]]
-    tokens = sum(r["t"] for r in rest) + n_end
-    distinct = sum(r["n"] for r in rest) + (n_end > 0)
-    return ClassModel(top, of, bigrams, words, tokens, distinct), n_end
-
-
-def _looked_up(w: np.ndarray, w_known: np.ndarray, n_known: np.ndarray) -> np.ndarray:
-    """Counts of the words ``w`` among ascending ``w_known``; 0 for the rest."""
-    if not len(w_known):
-        return np.zeros(len(w))
-    at = np.minimum(np.searchsorted(w_known, w), len(w_known) - 1)
-    return np.where(w_known[at] == w, n_known[at], 0)
+    hot = np.eye(CLASSES + 1)[of]
+    table = hot.T @ bigrams @ hot
 
+    def first(batches):
+        for batch in batches:
+            w, pool = (batch.column(k).to_numpy() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(of[types_of(w, pool, top)].astype(np.int8))], names=["w", "n", "c"])
+
+    known = written(counts.select("w", "pool", "n").mapInArrow(first, "w bigint, n bigint, c tinyint"), "classes")
+    for _ in range(rounds):
+        moved = written(known.join(placed(docs, known, top, of, table, broadcast_words), "w", "left").select("w", "n", F.coalesce("k", "c").alias("c")), "classes")
+        release(docs.sparkSession)
+        then = class_bigrams(docs, moved, top, of, broadcast_words)
+        if likelihood(then) <= likelihood(table) + 1e-6:
+            break
+        known, table = moved, then
+    words, tokens = np.zeros(CLASSES + 1), n_end
+    for r in known.groupBy("c").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("t")).collect():  # a row for each class
+        words[r["c"]], tokens = r["words"], tokens + r["t"]
+    return ClassModel(top, of, table, words, tokens, int(words.sum()) + (n_end > 0)), n_end, known
 
-def score_corpus(docs: DataFrame, id_column: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    docs = keyed(docs, "text", id_column=id_column).withColumn("held_out", held_out(id_column, FOLDS))
-    counts = written(unigrams(docs), "unigrams")
-    release(spark)
-    model, n_end = fit(docs, counts)
-    names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    id_type = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def scored(piece, w_known: np.ndarray, n_known: np.ndarray) -> pa.RecordBatch:
-        model, n_end = shared.value
+def _line(c: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words with a border before, between and after the texts, and the words' places in it."""
+    n = np.diff(cuts)
+    line = np.full(len(c) + len(n) + 1, CLASSES, dtype=np.int64)
+    place = np.arange(len(c)) + 1 + np.repeat(np.arange(len(n)), n)
+    line[place] = c
+    return line, place
+
+
+def class_bigrams(docs: DataFrame, known: DataFrame, top: np.ndarray, of: np.ndarray, broadcast_words: int) -> np.ndarray:
+    """Counts of adjacent classes in training texts, a square table of fixed size."""
+    n_c = CLASSES + 1
+
+    def run(piece, *found):
         w, pool, cuts = word_hashes(*string_bytes(piece.column("text")))
-        n_tokens, known, base, score = model.score(w, pool, _looked_up(w, w_known, n_known), cuts, n_end)
-        columns = [piece.column(id_column), piece.column("held_out"), *map(pa.array, (n_tokens, known)), pa.array(np.full(len(base), model.tokens)), pa.array(base), pa.array(score)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        line, _ = _line(_classes(w, pool, top, of, *found)[0], cuts)
+        table = np.bincount(line[:-1] * n_c + line[1:], minlength=n_c * n_c)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n_c * n_c)), pa.array(table)], names=["cell", "n"])
+
+    cells = spread(docs.where(~F.col("held_out")), known, run, "cell bigint, n bigint", broadcast_words).groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(n_c * n_c)
+    for r in cells.collect():  # a row for each cell
+        out[r["cell"]] = r["n"]
+    return out.reshape(n_c, n_c)
 
-    shared = spark.sparkContext.broadcast((model, n_end))
-    if counts.count() <= broadcast_words:
-        got = counts.select("w", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-        w_known, n_known = got.column("w").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(w_known, kind="stable")
-        vocabulary = spark.sparkContext.broadcast((w_known[order], n_known[order]))
+
+def placed(docs: DataFrame, known: DataFrame, top: np.ndarray, of: np.ndarray, table: np.ndarray, broadcast_words: int) -> DataFrame:
+    """(w, k): the words beyond the types that join another class, and which."""
+    side = CLASSES + 2  # the classes, the border, and the word itself
+
+    def run(piece, *found):
+        w, pool, cuts = word_hashes(*string_bytes(piece.column("text")))
+        c = _classes(w, pool, top, of, *found)[0]
+        line, place = _line(c, cuts)
+        word = np.zeros(len(line), dtype=np.int64)
+        word[place] = w
+        inner = np.flatnonzero(types_of(w, np.zeros(len(w), np.int32), top) >= len(top)) if len(top) else np.arange(len(w))
+        p, w, c = place[inner], w[inner], c[inner]
+        beside = [np.where((word[p + d] == w) & (line[p + d] != CLASSES), side - 1, line[p + d]) for d in (-1, 1)]
+        context = beside[0] * side + beside[1]
+        order = np.lexsort((context, w))
+        w, c, context = w[order], c[order], context[order]
+        new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (context[1:] != context[:-1])))) if len(w) else order
+        n = np.diff(np.append(new, len(w)))
+        return pa.RecordBatch.from_arrays([pa.array(w[new]), pa.array(c[new].astype(np.int8)), pa.array(context[new].astype(np.int16)), pa.array(n.astype(np.int32))], names=["w", "c", "context", "n"])
+
+    def settle(w, c, context, n):
+        starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        many = np.diff(np.append(starts, len(w)))
+        # words of a single context, class and count are alike: one stands for all
+        code = (c[starts].astype(np.int64) * side * side + context[starts]) << 31 | n[starts]
+        code = np.where(many == 1, code, -1 - np.arange(len(starts)))
+        _, one, back = np.unique(code, return_index=True, return_inverse=True)
+        chosen = np.empty(len(one), dtype=np.int64)
+        for at in range(0, len(one), 4096):
+            part = one[at : at + 4096]
+            rows = np.repeat(starts[part] - np.concatenate(([0], np.cumsum(many[part])[:-1])), many[part]) + np.arange(many[part].sum())
+            row = np.repeat(np.arange(len(part)), many[part])
+            seen = [np.zeros((len(part), side)) for _ in "ba"]
+            for table_of, beside in zip(seen, divmod(context[rows].astype(np.int64), side)):
+                np.add.at(table_of, (row, beside), n[rows])
+            chosen[at : at + 4096] = best_classes(table, c[starts[part]].astype(np.int64), seen[0][:, :-1], seen[1][:, :-1], seen[1][:, -1])
+        k = chosen[back]
+        go = np.flatnonzero(k != c[starts])
+        return pa.RecordBatch.from_arrays([pa.array(w[starts][go]), pa.array(k[go].astype(np.int8))], names=["w", "k"])
+
+    def choose(batches):
+        forget()
+        rest = None
+        for batch in batches:
+            got = [x.to_numpy() for x in batch.columns]
+            got = [np.concatenate(x) for x in zip(rest, got)] if rest else got
+            cut = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0  # the last word may go on
+            rest = [x[cut:] for x in got]
+            if cut:
+                yield settle(*(x[:cut] for x in got))
+        if rest and len(rest[0]):
+            yield settle(*rest)
+
+    seen = spread(docs.where(~F.col("held_out")), known, run, "w bigint, c tinyint, context smallint, n int", broadcast_words)
+    return seen.repartition("w").sortWithinPartitions("w").mapInArrow(choose, "w bigint, k tinyint")
+
+
+def _classes(w: np.ndarray, pool: np.ndarray, top: np.ndarray, of: np.ndarray, w_known: np.ndarray, n_known: np.ndarray, c_known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and training counts of the words ``w``, looked up among ascending ``w_known``; else the pool's class and 0."""
+    of_pool = of[len(top) + pool] if len(w) else np.zeros(0, np.int64)
+    if not len(w_known):
+        return of_pool, np.zeros(len(w))
+    at = np.minimum(np.searchsorted(w_known, w), len(w_known) - 1)
+    hit = w_known[at] == w
+    return np.where(hit, c_known[at], of_pool).astype(np.int64), np.where(hit, n_known[at], 0)
+
+
+def spread(docs: DataFrame, known: DataFrame, run, schema: str, broadcast_words: int) -> DataFrame:
+    """``run(piece, w, n, c)`` over pieces of ``docs``, with what is known of their words, ascending."""
+    spark = docs.sparkSession
+    kept = [x for x in docs.columns if x != RID]
+    if known.count() <= broadcast_words:
+        got = known.select("w", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), "c").toArrow()
+        arrays = [got.column(k).to_numpy() for k in range(3)]
+        order = np.argsort(arrays[0], kind="stable")
+        vocabulary = spark.sparkContext.broadcast([x[order] for x in arrays])
+        del got, arrays
 
         def direct(batches):
             forget()
             for batch in batches:
                 for piece in pieces(batch, "text"):
-                    yield scored(piece, *vocabulary.value)
+                    yield run(piece, *vocabulary.value)
 
-        return docs.select(id_column, "held_out", "text").mapInArrow(direct, schema)
+        return docs.select(*kept).mapInArrow(direct, schema)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64(RID), F.lit(chunks)).cast("int")
@@ -283,13 +397,37 @@ def score_corpus(docs: DataFrame, id_column: str = "doc_id", broadcast_words: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, np.int32)), pa.array(w)], names=["chunk", "w"])
 
     def answer(key, texts: pa.Table, known: pa.Table) -> pa.Table:  # noqa: ARG001
-        w_known, n_known = known.column("w").to_numpy(), known.column("n").to_numpy()
-        order = np.argsort(w_known, kind="stable")
-        parts = [scored(p, w_known[order], n_known[order]) for batch in texts.combine_chunks().to_batches() for p in pieces(batch, "text")]
+        arrays = [known.column(k).to_numpy() for k in ("w", "n", "c")]
+        order = np.argsort(arrays[0], kind="stable")
+        parts = [run(p, *(x[order] for x in arrays)) for batch in texts.combine_chunks().to_batches() for p in pieces(batch, "text")]
         return pa.Table.from_batches(parts)
 
-    placed = docs.withColumn("chunk", chunk)
-    asked = placed.select("chunk", "text").mapInArrow(ask, "chunk int, w bigint").distinct()
-    told = written(asked.join(counts.select("w", "n"), "w").select("chunk", "w", "n"), "told")
+    dealt = docs.withColumn("chunk", chunk)
+    asked = dealt.select("chunk", "text").mapInArrow(ask, "chunk int, w bigint").distinct()
+    told = written(asked.join(known, "w").select("chunk", "w", "n", "c"), "told")
+    release(spark)
+    return dealt.select("chunk", *kept).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answer, schema)
+
+
+def score_corpus(docs: DataFrame, id_column: str = "doc_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    docs = keyed(docs, "text", id_column=id_column).withColumn("held_out", held_out(id_column, FOLDS))
+    counts = written(unigrams(docs), "unigrams")
     release(spark)
-    return placed.select("chunk", id_column, "held_out", "text").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answer, schema)
+    model, n_end, known = fit(docs, counts, broadcast_words)
+    release(spark)
+    names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    id_type = docs.schema[id_column].dataType.simpleString()
+    schema = f"`{id_column}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    shared = spark.sparkContext.broadcast((model, n_end))
+
+    def scored(piece, *found) -> pa.RecordBatch:
+        model, n_end = shared.value
+        w, pool, cuts = word_hashes(*string_bytes(piece.column("text")))
+        c, n = _classes(w, pool, model.top, model.of, *found)
+        n_tokens, seen, base, score = model.score(c, n, cuts, n_end)
+        columns = [piece.column(id_column), piece.column("held_out"), *map(pa.array, (n_tokens, seen)), pa.array(np.full(len(base), model.tokens)), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return spread(docs, known, scored, schema, broadcast_words)
