@@ -382,6 +382,7 @@ def test_similarity_join(spark, rows):
 
 
 def test_signatures_lose_no_link():
+    """Any choice of segments that leaves out no more weight than the slack looks a linked set up."""
     from veilspark.llm.jaccard import allocate, band_edges, signatures
 
     rng = random.Random(8)
@@ -398,9 +399,30 @@ def test_signatures_lose_no_link():
                 if 100 * len(x & z) < 80 * len(x | z):
                     break
                 y = z
+            if x == y:
+                continue
             h = np.concatenate([np.array(sorted(v), np.uint64) for v in (x, y)])
-            sig, who = signatures(bands, h, np.array([0, len(x), len(x) + len(y)]), np.array([0, 1]))
-            assert x == y or set(sig[who == 0]) & set(sig[who == 1])
+            rows = list(zip(*signatures(bands, h, np.array([0, len(x), len(x) + len(y)]), np.array([0, 1]))))
+            size = len(x), len(y)
+            shared = set(r[0] for r in rows if r[1] == 0) & set(r[0] for r in rows if r[1] == 1)
+            found = False
+            for me in (0, 1):
+                for band in set(int(r[2]) >> 34 for r in rows if r[1] == me):
+                    mine = [r for r in rows if r[1] == me and int(r[2]) >> 34 == band]
+                    other = {r[0]: r for r in rows if r[1] != me and int(r[2]) >> 34 == band}
+                    if not other or not (mine[0][2] & 1 or next(iter(other.values()))[2] & 1):
+                        continue
+                    met = {int(r[2]) >> 2 for r in mine if r[0] in shared}
+                    segments = {int(r[2]) >> 2: 1 + (int(r[2]) >> 1 & 1) for r in mine}
+                    left = int(mine[0][3])
+                    for s in sorted(segments, key=lambda s: (s not in met, rng.random())):  # those that meet leave first
+                        if segments[s] > left:
+                            break
+                        left -= segments[s]
+                        met.discard(s)
+                    larger = (size[me], me) > (size[1 - me], 1 - me)
+                    found |= bool(met) and (larger or next(iter(other.values()))[3] < 0)
+            assert found
 
 
 @pytest.mark.parametrize("family", [20_000, 1])

@@ -1,17 +1,16 @@
 """Vectorised scans over concatenated UTF-8 texts: substring hashes, words, sliding minima.
 
-Everything here works on one flat uint8 buffer holding many texts, so the cost is a fixed number of
-numpy passes per byte and no Python object is made per word or per position.
+Everything here works on one flat uint8 buffer holding many texts, by numpy passes over all words or positions at
+once; no Python object is made for each, but for spans of more than 512 bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_STEP = 1 << 22
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -23,67 +22,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _byte_values() -> np.ndarray:
-    return mix64((np.arange(256, dtype=U64) + U64(1)) * U64(0xD1342543DE82EF95))
-
-
-BYTE_VALUE = _byte_values()
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, dtype=U64)
-    if n:
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(out, out=out)
-    return out
+_WORD = np.dtype("<u8")
+#: Bits of a word's first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Spans of more bytes are hashed one at a time by a cryptographic hash.
+_LONG = 512
 
 
 class Buffer:
-    """A flat byte buffer with O(1) hashes of any substring.
+    """A flat byte buffer and hashes of its substrings.
 
-    ``hash(start, end)`` is a polynomial hash of random 64-bit byte values; it depends on the bytes only,
-    not on where they stand.
+    ``hash(start, end)`` runs over a span's eight-byte words, mixing after each; it depends on the bytes, the length
+    and the seed only, not on where they stand. Two seeds give two independent hashes.
     """
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat
-        n = len(flat)
-        pows = powers(_BASE, n)
-        prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(BYTE_VALUE[flat] * pows, out=prefix[1:])
-        self._prefix = prefix
-        self._inverse = powers(_INV, n + 1)
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self._prefix[end] - self._prefix[start]) * self._inverse[start]
-        return mix64(raw ^ (np.asarray(end - start).astype(U64) * U64(0xA24BAED4963EE407)))
-
-
-def flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, and the n+1 offsets of their borders."""
-    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) for t in texts], out=offsets[1:])
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), offsets
-
-
-def batches(texts: list[bytes], limit: int = _STEP):
-    """Index ranges of consecutive texts holding about ``limit`` bytes together (one long text stands alone)."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > limit:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of True."""
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        padded = np.concatenate((flat, np.zeros(8, dtype=np.uint8)))
+        self._words = np.ndarray((len(flat) + 1,), dtype=_WORD, buffer=padded, strides=(1,))
+
+    def hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        start, size = np.asarray(start, dtype=np.int64), np.asarray(end - start, dtype=np.int64)
+        out = mix64(size.astype(U64) * U64(0xA24BAED4963EE407) + U64((seed * 0x9FB21C651E98DF25 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
+        out = mix64((out ^ (self._words[start] & _FIRST[np.minimum(size, 8)])) * U64(0x9E3779B97F4A7C15)) if len(start) else out
+        rest = np.flatnonzero((size > 8) & (size <= _LONG))
+        done = 8
+        while len(rest):
+            word = self._words[start[rest] + done] & _FIRST[np.minimum(size[rest] - done, 8)]
+            out[rest] = mix64((out[rest] ^ word) * U64(0x9E3779B97F4A7C15) + U64(1))
+            done += 8
+            rest = rest[size[rest] > done]
+        for k in np.flatnonzero(size > _LONG):
+            digest = hashlib.blake2b(self.flat[start[k] : start[k] + size[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+            out[k] = int.from_bytes(digest, "little")
+        return out
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:

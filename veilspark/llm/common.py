@@ -59,6 +59,21 @@ def sent(small: DataFrame, label: str, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
+def hot_join(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``answers`` (one row a key, both written), whose column ``rows`` tells how many rows ask.
+
+    Keys that more than a hundred-thousandth of all rows have, a thousand at least, are at most a hundred thousand;
+    their answers are sent to all executors, so that no task gets all rows of a hot key. The others meet by a shuffle.
+    """
+    value = [c for c in answers.columns if c not in (key, "rows")]
+    most = max(1000, (answers.agg(F.sum("rows")).first()[0] or 0) // 100_000)
+    hot = F.broadcast(answers.where(F.col("rows") > most).select(key, *value))
+    light = answers.where(F.col("rows") <= most).select(key, *value)
+    near = rows.join(hot, key)
+    far = rows.join(hot.select(key), key, "left_anti").join(light, key, "left")
+    return near.unionByName(far)
+
+
 def keyed(docs: DataFrame, *columns: str, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with ``id_column``, ``columns`` and a unique non-null long key RID.
 

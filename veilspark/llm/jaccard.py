@@ -2,19 +2,27 @@
 
 A text's set holds the hashes of its distinct shingles (SHINGLE words, cut at ASCII white space, A-Z lower-cased;
 a shorter text is one shingle). Texts of equal sets are one set from then on. Sets are banded by size; a band's
-universe of shingles is cut into segments by hash, and each set indexes segment subsets, for some segments also
-their one-deletion neighbourhoods, as many as the pigeonhole principle needs. How many segments of which kind
-is allocated by estimated cost from the number of sets in the band.
-
-Sets that share a signature meet in a bucket. Each is compared with its bucket's least member; verified links
-give components; then sets of different components that share a bucket are compared too, so no link between
-components is missed while pairs inside a component are never listed. Before exact verification on the shingles,
-parity sketches discard pairs: every shingle flips one of 512 bits (of twice its size for a set of more than
-WIDE_ABOVE), so sketches differ in no more bits than sets do in shingles.
+universe of shingles is cut into segments by hash. A set indexes the subset that it has in every segment, and for
+some segments also the one-deletion neighbourhood. ``allocate`` chooses how many segments of which kind a band has,
+always more than the pigeonhole principle needs (SPARE).
+
+1. Sets that share a signature meet in a bucket. Each is compared with its bucket's least member, then, where a bucket
+   still holds several components, with its greatest. Verified links give components, so the pairs of a group of
+   copies are never listed.
+2. What is left are buckets with sets of different components. Now the sizes of all buckets are known, and each set is
+   allocated the segments that it looks up: as many as the pigeonhole principle needs, those with the fewest members of
+   their buckets first. A segment whose buckets hold no other component costs nothing. Text that many unlinked documents
+   share fills large buckets, and a set that has enough other text looks none of them up.
+3. Each set meets the members of the buckets that it looks up. Of two linked sets the larger (by size, then id)
+   finds the smaller: their difference is at most a quarter of either, which is less than the weights looked up.
+
+Before exact verification on the shingles, parity sketches discard pairs: every shingle flips one of 512 bits (of
+twice its size for a set of more than WIDE_ABOVE), so sketches differ in no more bits than sets do in shingles.
 
 Null or empty texts and texts of white space have the empty set, link with nothing and are their own component.
 A null id is never the smallest; a component of null ids alone has a null id. Repeated rows count as documents
-with equal sets. An empty table gives an empty result; other columns do not matter.
+with equal sets. Very long texts are hashed in one piece, about 60 bytes of memory a byte of text. An empty table
+gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,11 +32,11 @@ import math
 import numpy as np
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64
-from veilspark.llm.common import RID, forget, keyed, pieces, release, sent, string_bytes, written
+from veilspark.llm.common import RID, forget, hot_join, keyed, pieces, release, sent, string_bytes, written
 from veilspark.llm.components import components
 from veilspark.llm.quality import white
 from veilspark.llm.toxicity import LOWER
@@ -86,6 +94,10 @@ def band_edges(most: int) -> list[int]:
     return edges
 
 
+#: Segments of a band, as a multiple of those that the pigeonhole principle needs; the rest is choice.
+SPARE = 1.35
+
+
 class Band:
     """How a band's universe is cut: the first ``deletions`` of ``segments`` also index one-deletion neighbourhoods."""
 
@@ -94,7 +106,7 @@ class Band:
 
 
 def allocate(number: int, least: int, most: int, n_sets: int, shared: float = 0.15, row_cost: float = 1.0, pair_cost: float = 0.02) -> Band:
-    """The cheapest cut for ``n_sets`` sets of a band.
+    """The cheapest cut for ``n_sets`` sets of a band, before any bucket is known.
 
     A set needs segments of the weights 1 (exact) or 2 (one deletion) up to a quarter of its size plus one. Fewer,
     longer segments make fewer chance meetings but more rows. Rows and chance meetings are both estimated for a
@@ -105,15 +117,15 @@ def allocate(number: int, least: int, most: int, n_sets: int, shared: float = 0.
     need_here = size / 4 + 1
     best = None
     for part in (0.0, 0.25, 0.5, 0.75, 1.0):
-        deletions = round(need * part / 2)
-        exact = max(0, need - 2 * deletions)
+        deletions = math.ceil(SPARE * round(need * part / 2))
+        exact = math.ceil(SPARE * max(0, need - 2 * round(need * part / 2)))
         segments = deletions + exact
         spare = 1 if segments < 4 else math.ceil(segments * math.exp(-least / (segments * 1.1)) * 1.5) + 1
         segments += spare
         long = size / segments
         used = min(1.0, need_here / (2 * deletions + exact))
         meets = long * shared * math.exp(-2 * long * (1 - shared))
-        rows = n_sets * used * (exact + deletions * (long + 1))
+        rows = n_sets * (exact + deletions * (long + 1))
         pairs = n_sets * n_sets / 2 * used * (exact * meets + deletions * meets * (1 + long) ** 2)
         cost = row_cost * rows + pair_cost * pairs
         if best is None or cost < best[0]:
@@ -126,14 +138,17 @@ def _signature(band: Band, segment: np.ndarray, total: np.ndarray, count: np.nda
     return mix64(total + mix64(tag + count.astype(U64)))
 
 
-def band_signatures(band: Band, hashes: np.ndarray, cuts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets ``owners`` in ``band`` and the owner of each.
+def band_signatures(band: Band, hashes: np.ndarray, cuts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets ``owners`` in ``band``; of each its owner, its item and the owner's slack.
 
-    A set takes its segments in order until their weights exceed the largest difference that a linked set of this
-    band can have (a quarter of the smaller set). A segment of two or more members weighs what its kind does, one
-    of a single member 1, an empty one 0. If two sets differ by less than the weights of the set that stops first,
-    a segment that this set took differs by less than its weight, so both have one of its signatures. A set whose
-    weights do not suffice takes all segments, empty ones too.
+    A segment of two or more members weighs what its kind does, one of a single member 1, an empty one 0. A set's
+    need is one more than the largest difference of a linked set of this band. Its slack is the weight of all its
+    segments less its need: so much it may leave out when it looks others up, since a linked set that differs by less
+    than the weights looked up differs in one of these segments by less than its weight, and then both have one of its
+    signatures. A set whose weights do not suffice has slack -1, takes empty segments too, looks all up, and is looked
+    up by larger and smaller sets alike.
+
+    An item tells band, segment, whether the segment weighs 2, and whether the owner's size lies in the band.
     """
     m = band.segments
     size = np.diff(cuts)[owners]
@@ -149,30 +164,33 @@ def band_signatures(band: Band, hashes: np.ndarray, cuts: np.ndarray, owners: np
     new[1:] = place[1:] != place[:-1]
     begin = np.flatnonzero(new)
     if not len(begin):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     count = np.diff(np.append(begin, len(place)))
     total = np.add.reduceat(member, begin)
     owner, segment = np.divmod(place[begin], m)
     softer = segment < band.deletions
-    weight = np.where(softer & (count >= 2), 2, 1)
-    running = np.cumsum(weight) - weight
-    running -= running[np.searchsorted(owner, owner)]
-    short = np.bincount(owner, weights=weight, minlength=len(owners)) < need
-    taken = (running < need[owner]) | short[owner]
-    sig = [_signature(band, segment[taken], total[taken], count[taken])]
-    who = [owner[taken]]
-    part = np.repeat(taken & softer & ((count >= 2) | short[owner]), count)
+    double = softer & (count >= 2)
+    slack = np.bincount(owner, weights=1 + double, minlength=len(owners)).astype(np.int64) - need
+    short = slack < 0
+    slack = np.where(short, -1, slack).astype(np.int32)
+    base = np.int64(band.number) << 34 | (size <= band.most)
+    item = base[owner] | segment << 2 | double << 1
+    sig, who, what = [_signature(band, segment, total, count)], [owner], [item]
+    part = np.repeat(softer & ((count >= 2) | short[owner]), count)
     whole = np.repeat(np.arange(len(begin)), count)[part]
     sig.append(_signature(band, segment[whole], total[whole] - member[part], count[whole] - 1))
     who.append(owner[whole])
+    what.append(item[whole])
     for k in np.flatnonzero(short):
         empty = np.setdiff1d(np.arange(m), segment[owner == k])
         sig.append(_signature(band, empty, np.zeros(len(empty), U64), np.zeros(len(empty), np.int64)))
         who.append(np.full(len(empty), k))
-    return np.concatenate(sig), owners[np.concatenate(who)]
+        what.append(base[k] | empty << 2)
+    who = np.concatenate(who)
+    return np.concatenate(sig), owners[who], np.concatenate(what), slack[who]
 
 
-def signatures(bands: list[Band], hashes: np.ndarray, cuts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(bands: list[Band], hashes: np.ndarray, cuts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of the sets ``chosen`` in their own band and, where a linked set can lie below it, in that one."""
     size = np.diff(cuts)
     out = []
@@ -183,8 +201,8 @@ def signatures(bands: list[Band], hashes: np.ndarray, cuts: np.ndarray, chosen:
         if len(owners):
             out.append(band_signatures(band, hashes, cuts, owners))
     if not out:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate([s for s, _ in out]), np.concatenate([w for _, w in out])
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 SKETCH = [f"k{i}" for i in range(8)]
@@ -245,7 +263,8 @@ def document_sets(docs: DataFrame, id_column: str) -> DataFrame:
 
 
 def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
-    """Rows (sig, s) of every bucket that holds two sets or more."""
+    """Rows (sig, s, item, slack) of every bucket that holds two sets or more."""
+    names = ["sig", "s", "item", "slack"]
 
     def emit(batches):
         forget()
@@ -258,36 +277,53 @@ def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
                 chosen = first[(np.diff(cuts)[first] >= LEAST) & np.array([i not in seen for i in ids[first].tolist()], dtype=bool)]
                 if len(seen) < 200_000:  # equal sets are left out early; those that are not do no harm
                     seen.update(ids[chosen].tolist())
-                sig, owner = signatures(bands, hashes, cuts, chosen)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[owner])], names=["sig", "s"])
+                sig, owner, item, slack = signatures(bands, hashes, cuts, chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[owner]), pa.array(item), pa.array(slack)], names=names)
 
     def meeting(batches):
         """Of rows in order of (sig, s): the distinct ones whose sig has another s. A run may span batches."""
         forget()
-        last_sig = last_s = None
+        last = None
         told = True  # whether the last distinct row has been sent or is known to be alone so far
         for batch in batches:
-            sig, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = [c.to_numpy() for c in batch.columns]
+            sig, s = rows[:2]
             if not len(sig):
                 continue
             new = np.ones(len(sig), dtype=bool)
             new[1:] = (sig[1:] != sig[:-1]) | (s[1:] != s[:-1])
-            new[0] = sig[0] != last_sig or s[0] != last_s
-            sig, s = sig[new], s[new]
+            new[0] = last is None or sig[0] != last[0] or s[0] != last[1]
+            rows = [x[new] for x in rows]
+            sig = rows[0]
             if not len(sig):
                 continue
             before = np.concatenate(([False], sig[1:] == sig[:-1]))
-            before[0] = sig[0] == last_sig
+            before[0] = last is not None and sig[0] == last[0]
             after = np.concatenate((sig[1:] == sig[:-1], [False]))
             keep = before | after
-            out_sig, out_s = sig[keep], s[keep]
+            out = [x[keep] for x in rows]
             if before[0] and not told:
-                out_sig, out_s = np.insert(out_sig, 0, last_sig), np.insert(out_s, 0, last_s)
-            last_sig, last_s, told = sig[-1], s[-1], bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_s)], names=["sig", "s"])
+                out = [np.insert(x, 0, v) for x, v in zip(out, last)]
+            last, told = [x[-1] for x in rows], bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+
+    schema = "sig bigint, s bigint, item bigint, slack int"
+    rows = docs.select("text").mapInArrow(emit, schema)
+    return rows.repartition("sig").sortWithinPartitions("sig", "s").mapInArrow(meeting, schema)
+
 
-    rows = docs.select("text").mapInArrow(emit, "sig bigint, s bigint")
-    return rows.repartition("sig").sortWithinPartitions("sig", "s").mapInArrow(meeting, "sig bigint, s bigint")
+def looked_up(rows: DataFrame) -> DataFrame:
+    """Of a set's rows in a band those of the segments that it has to look up.
+
+    Segments leave by falling cost (members of their buckets, for a unit of weight) while the weight that left is at
+    most the slack. A set's rows are as many as its segments, so none of the windows grows with a bucket.
+    """
+    segment = Window.partitionBy("s", "band", "segment")
+    rows = rows.withColumn("weight", F.col("item").bitwiseAND(2) / 2 + 1)
+    rows = rows.withColumn("cost", F.sum("members").over(segment) / F.col("weight"))
+    rows = rows.withColumn("once", F.when(F.row_number().over(segment.orderBy("sig")) == 1, F.col("weight")).otherwise(0))
+    gone = F.sum("once").over(Window.partitionBy("s", "band").orderBy(F.desc("cost"), "segment").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("gone", gone).where("gone > slack").drop("weight", "cost", "once", "gone")
 
 
 def _near(a: str, b: str) -> Column:
@@ -346,8 +382,11 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def rooted(docs: DataFrame, id_column: str) -> DataFrame:
-    """Per row of keyed documents: RID, id, number of shingles and root, the set id that stands for the component."""
+def rooted(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Per row of keyed documents: RID, id, set id ``s`` and number of shingles; and (s, root) of the sets with links.
+
+    The root is the set id that stands for the component.
+    """
     spark = docs.sparkSession
     sets = written(document_sets(docs, id_column), "sets")
     each = sets.groupBy("s").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in [*SKETCH, "wide"]])
@@ -361,39 +400,56 @@ def rooted(docs: DataFrame, id_column: str) -> DataFrame:
     wide = written(each.join(buckets.select("s").distinct(), "s", "left_semi"), "meeting")
     each = wide.drop("wide")
 
-    centre = buckets.groupBy("sig").agg(F.min("s").alias("a"))
-    star = buckets.join(centre, "sig").where(F.col("a") != F.col("s")).select("a", F.col("s").alias("b")).distinct()
-    near = star.alias("p").join(each.alias("x"), F.col("p.a") == F.col("x.s")).join(each.alias("y"), F.col("p.b") == F.col("y.s")).where(_near("x", "y"))
-    first = verified(written(_wide_filter(near.select("p.a", "p.b"), wide), "pairs"), docs, sets)
+    def compared(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().alias("p").join(each.alias("x"), F.col("p.a") == F.col("x.s")).join(each.alias("y"), F.col("p.b") == F.col("y.s")).where(_near("x", "y"))
+        return verified(written(_wide_filter(near.select("p.a", "p.b"), wide), "pairs"), docs, sets)
 
-    parts = components(first)
-    placed = buckets.join(parts, buckets["s"] == parts["node"], "left").select("sig", "s", F.coalesce("component", "s").alias("c"))
-    placed = written(placed, "placed")
-    open_ = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    rest = written(placed.join(open_, "sig", "left_semi").join(each, "s"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.s") < F.col("y.s")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y"))
-    second = across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
-    second = verified(written(_wide_filter(second, wide), "pairs"), docs, sets)
+    def open_buckets(links: DataFrame) -> DataFrame:
+        """Rows with their component ``c`` of buckets that hold several, and how many members a bucket has."""
+        parts = components(links)
+        placed = written(buckets.join(parts, buckets["s"] == parts["node"], "left").select(*buckets.columns, F.coalesce("component", "s").alias("c")), "placed")
+        several = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("sig", "members")
+        return written(placed.join(several, "sig"), "open")
 
-    parts = components(first.unionByName(second))
-    return sets.join(parts, sets["s"] == parts["node"], "left").select(RID, id_column, "n", F.coalesce("component", "s").alias("root"))
+    centre = buckets.groupBy("sig").agg(F.min("s").alias("a"))
+    links = compared(buckets.join(centre, "sig").where(F.col("a") != F.col("s")).select("a", F.col("s").alias("b")))
+    still = open_buckets(links)
+    centre = still.groupBy("sig").agg(F.max(F.struct("s", "c")).alias("x")).select("sig", F.col("x.s").alias("b"), F.col("x.c").alias("d"))
+    links = links.unionByName(compared(still.join(centre, "sig").where("c <> d").select(F.col("s").alias("a"), "b")))
+
+    still = open_buckets(links).join(each, "s").withColumn("band", F.shiftright("item", 34)).withColumn("segment", F.shiftright("item", 2)).withColumn("own", F.col("item").bitwiseAND(1) == 1)
+    still = written(still.drop("lo", "hi"), "met")
+    x, y = looked_up(still.repartition("s")).alias("x"), still.alias("y")
+    smaller = F.struct("y.n", "y.s") < F.struct("x.n", "x.s")
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.own") | F.col("y.own")) & (smaller | (F.col("y.slack") < 0)) & _near("x", "y"))
+    across = across.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
+    links = links.unionByName(verified(written(_wide_filter(across, wide), "pairs"), docs, sets))
+    parts = components(links)
+    return sets.select(RID, id_column, "s", "n"), parts.select(F.col("node").alias("s"), F.col("component").alias("root"))
+
+
+def _stands_for(sets: DataFrame, parts: DataFrame, value: Column) -> DataFrame:
+    """Per set of shingles: s, rows (how many documents have it) and ``value``'s minimum over its component."""
+    own = sets.where("n > 0").groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min(value).alias("least"))
+    own = written(own.join(parts, "s", "left").withColumn("root", F.coalesce("root", "s")), "own")
+    best = own.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("best"))
+    return written(hot_join(own.drop("least"), best, "root"), "stands").select("s", "rows", "best")
 
 
 def link_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: id, n_shingles, component_id."""
-    found = rooted(keyed(docs, "text", id_column=id_column), id_column)
-    least = found.where("n > 0").groupBy("root").agg(F.min(id_column).alias("least"))
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_column))
-    return found.join(least, "root", "left").select(id_column, F.col("n").alias("n_shingles"), component.alias("component_id"))
+    sets, parts = rooted(keyed(docs, "text", id_column=id_column), id_column)
+    found = hot_join(sets, _stands_for(sets, parts, F.col(id_column)), "s")
+    component = F.when(F.col("n") > 0, F.col("best")).otherwise(F.col(id_column))
+    return found.select(id_column, F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component, that of the least id; rows with the empty set all stay."""
     d = keyed(docs, *[c for c in docs.columns if c != id_column], id_column=id_column)
-    found = rooted(d, id_column).where("n > 0")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), id_column, RID)).alias("x")).select("root", F.col(f"x.{RID}").alias("stays"))
-    goes = found.join(first, "root").where(F.col(RID) != F.col("stays")).select(RID)
+    sets, parts = rooted(d, id_column)
+    first = _stands_for(sets, parts, F.struct(F.col(id_column).isNull().alias("none"), id_column, RID))
+    goes = hot_join(sets.where("n > 0"), first, "s").where(F.col(RID) != F.col(f"best.{RID}")).select(RID)
     return d.join(sent(goes, "copies"), RID, "left_anti").select(*docs.columns)
 
 

@@ -126,7 +126,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, id
     """At most ``limit`` labelled rows outside the held-out fold: those of the least hash of the id."""
     kept = labels.where(F.col(label).isNotNull() & ~held_out(id_column, FOLDS)).groupBy(id_column).agg(F.min(F.col(label).cast("int")).alias("_veil_label"))
     chosen = kept.orderBy(F.xxhash64(id_column), id_column).limit(limit)
-    return docs.select(id_column, "text").join(F.broadcast(chosen), id_column).dropDuplicates([id_column]).select("text", "_veil_label")
+    return docs.select(id_column, "text").join(F.broadcast(chosen), id_column).groupBy(id_column).agg(F.min("text").alias("text"), F.min("_veil_label").alias("_veil_label")).select("text", "_veil_label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN) -> SubwordClassifier:
