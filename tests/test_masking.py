@@ -59,7 +59,7 @@ def test_consensus(spark):
     v = spark.createDataFrame(rows, "part_id string, seq int, start int, end int, category string, channel string, label string")
     v = v.withColumn("category", F.coalesce(consensus.S.vote_category(F.col("channel"), F.col("label")), F.lit("その他")))
     got = [[] for _ in cases]
-    for r in consensus.merged(consensus.clusters(v), parts(spark, *[c[0] for c in cases])).orderBy("start").collect():
+    for r in consensus.merged(v, parts(spark, *[c[0] for c in cases])).orderBy("start").collect():
         got[int(r["part_id"][1:])].append((r["surface"], r["category"], r["confidence"]))
     assert got == [c[2] for c in cases]
 
@@ -92,7 +92,7 @@ def test_unmask_longest_first(spark):
 def test_rewrite_keeps_later_spans(spark, spans):
     text = "abcdefghijklmnopqrstuvwxyz"
     rows = [(text, [(s, s + n, f"<{s}>") for s, n in spans])]
-    out = spark.createDataFrame(rows, f"t string, s {rewrite.SPANS}").select(rewrite.rewrite(F.col("t"), F.col("s"))).first()[0]
+    out = spark.createDataFrame(rows, "t string, s array<struct<start:int,end:int,placeholder:string>>").select(rewrite.rewrite(F.col("t"), F.col("s"))).first()[0]
     kept, lo = [], 99
     for s, e in sorted({(s, s + n) for s, n in spans}, reverse=True):
         if e <= lo:
@@ -140,3 +140,84 @@ def test_loaders(spark, tmp_path):
     got = {r["file_name"]: r["text"] for r in files.load(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": "株式会社アルファ", "b.html": "x\ny"}
     assert files.joined(files.chunks(files.load(spark, str(tmp_path / "b.html")))).first()["text"] == "x\ny"
+
+
+def test_case_sensitive_terms_keep_their_case(spark):
+    """A case-sensitive term is masked and spread with its case only; its fixed mask and canonical are found."""
+    p = parts(spark, "STS and sts and Sts here, ＳＴＳ", "abc ABC")
+    bundles = spark.createDataFrame([("p0", "one", 0), ("p1", "one", 1)], "part_id string, bundle_id string, part_index int")
+    found = analyze(p, entries(spark, {"canonical": "STS", "case_sensitive": True}, {"canonical": "ABC", "case_sensitive": True, "mask": "〔甲〕"}))
+    masked, mapping = mask(found, bundles)
+    out = {r["part_id"]: r["masked_text"] for r in masked.collect()}
+    assert out["p0"].startswith("[社1] and sts and Sts here, [社") and out["p1"] == "abc 〔甲〕"
+    assert {r["canonical"] for r in mapping.where("placeholder = '〔甲〕'").collect()} == {"ABC"}
+
+
+def test_spans_of_a_part_are_those_of_the_windows(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        for seq in range(rng.randint(1, 9)):
+            start = rng.randint(0, 25)
+            channel = rng.choice(["dict", "session", "llm", "ja_ginza", "sudachi"])
+            rows.append((f"p{k}", seq, start, start + rng.randint(1, 7), "社名", channel, "x"))
+    v = spark.createDataFrame(rows, "part_id string, seq int, start int, end int, category string, channel string, label string")
+    want = {(r["part_id"], r["e_start"], r["e_end"]) for r in consensus.emitted(consensus.clusters(v)).collect()}
+    p = spark.createDataFrame([(f"p{k}", "abcdefghij" * 4) for k in range(120)], "part_id string, text string")
+    got = {(r["part_id"], r["start"], r["end"]) for r in consensus.resolved(v, p).collect()}
+    assert got == want
+
+
+def test_terms_beyond_a_worker_meet_by_joins(spark, monkeypatch):
+    texts = ["iASのみ, iAS iASiAS", "IF-Xを使用 SONY Sony", "STS Sts sts SONY-", "社AB社A です", ""]
+    rows = [{"canonical": x} for x in ("iAS", "IF-", "社A", "SONY", "SONY -", "です")] + [{"canonical": "STS", "case_sensitive": True}, {"canonical": "CB", "partial": True}]
+    p, keys = parts(spark, *texts), channels.terms(entries(spark, *rows))
+    both = []
+    for limit in (100_000, 0):
+        monkeypatch.setattr(channels, "HELD_TERMS", limit)
+        both.append([sorted(map(tuple, find(p, keys).collect())) for find in (channels.dictionary_hits, channels.partial_hits, channels.cjk_substring_hits)])
+    assert both[0] == both[1] and len(both[0][0]) > 5
+    assert sorted(map(tuple, channels.dictionary_hits(channels.tokens(p), keys).collect())) == both[0][0]
+
+
+def test_substring_of_half_width_and_cased_tokens(spark):
+    got = hits(spark, ["ｴｸｽﾓｰｼｮﾝｵﾘｼﾞﾅﾙ を", "日本語a"], "cjk", {"canonical": "オリ"}, {"canonical": "日本", "case_sensitive": True})
+    assert got == [["ｵﾘ"], ["日本"]]
+
+
+def test_long_texts_are_masked_in_linear_time(spark):
+    import time
+
+    text = " ".join(f"w{k}@example.com" if k % 3 == 0 else f"word{k}" for k in range(20_000))
+    p = spark.createDataFrame([("p", text, "b")], "part_id string, text string, bundle_id string")
+    took = []
+    for _ in range(2):  # the first run starts the workers
+        began = time.time()
+        c = channels.contacts(p).withColumn("bundle_id", F.lit("b")).withColumn("ordinal", F.struct("start", "end"))
+        mapping = rewrite.numbered(c)
+        out = rewrite.unmasked(rewrite.apply_mapping(p, mapping), mapping).select("masked_text", "restored").first()
+        took.append(time.time() - began)
+    assert out["restored"] == text and "@" not in out["masked_text"] and min(took) < 60
+
+
+def test_a_bundle_over_two_batches_is_restored(spark, tmp_path):
+    from veilspark.streaming.masking import mask_stream
+
+    source, got = tmp_path / "in", []
+    schema = "bundle_id string, part_id string, part_index int, text string"
+    texts = [("b", "p0", 0, "SONY and Canon"), ("b", "p1", 1, "Nikon, Canon"), ("c", "p2", 0, "Nikon")]
+
+    def sink(masked, mapping, number):
+        got.append(([tuple(r) for r in masked.select("bundle_id", "part_id", "masked_text").collect()], mapping.select("bundle_id", "placeholder", "canonical").collect()))
+
+    terms = entries(spark, *({"canonical": x} for x in ("SONY", "Canon", "Nikon")))
+    for k in (0, 1):
+        spark.createDataFrame(texts[k : k + 1] if k == 0 else texts[1:], schema).coalesce(1).write.mode("append").json(f"{source}")
+        stream = mask_stream(spark.readStream.schema(schema).json(f"{source}"), terms, sink, f"file://{tmp_path}/check")
+        stream.awaitTermination()
+    masked = {p: t for rows, _ in got for _, p, t in rows}
+    assert masked["p0"] == "[社1] and [社2]" and masked["p1"] == "[社3], [社2]" and masked["p2"] == "[社1]"
+    names = {(r["bundle_id"], r["placeholder"]): r["canonical"] for _, m in got for r in m}
+    assert names == {("b", "[社1]"): "SONY", ("b", "[社2]"): "Canon", ("b", "[社3]"): "Nikon", ("c", "[社1]"): "Nikon"}

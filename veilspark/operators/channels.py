@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspark import model as M
 from veilspark.functions.prepare import split_on_separators
-from veilspark.functions.scalars import normalize, normalize_case_kept, vote_category
+from veilspark.functions.scalars import fold, fold_case_kept, normalize, normalize_case_kept, vote_category
 
 #: Script runs: Latin and digits with inner marks, kana, kanji, one other character. White space separates.
 TOKEN = re.compile(r"[A-Za-z0-9]+|[぀-ゟ]+|[゠-ヿー]+|[㐀-鿿豈-﫿]+|(?:(?![A-Za-z])[^\W\d_])+|\S")
@@ -41,15 +41,15 @@ def tokens(parts: DataFrame, keep_spaces: bool = False) -> DataFrame:
 
 
 def pattern_spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array of (start, end, surface), from the lengths of matches and of what lies between."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    length = lambda arr, n: F.aggregate(F.slice(arr, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    """All matches of a pattern as array of (start, end, surface), in one pass over each text."""
+    compiled = re.compile(pattern)
 
-    def span(m: Column, k: Column) -> Column:
-        start = length(between, k + 1) + length(found, k)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("surface"))
+    @F.arrow_udf("array<struct<start:int,end:int,surface:string>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string())]))
+        return pa.array([None if t is None else [{"start": m.start(), "end": m.end(), "surface": m[0]} for m in compiled.finditer(t)] for t in texts.to_pylist()], kind)
 
-    return F.transform(found, span)
+    return spans(text)
 
 
 def contacts(parts: DataFrame) -> DataFrame:
@@ -72,11 +72,114 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
+#: Terms that one worker holds as a table of their beginnings; beyond it tokens meet the terms by joins.
+HELD_TERMS = 100_000
+ATOM = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7F\s]+|\S")
+_LATIN = re.compile(r"[a-z0-9_-]")
+
+
+class _Terms:
+    """Terms by key, and all beginnings of keys, so that a run of tokens stops where no term goes on."""
+
+    def __init__(self, rows):
+        self.by_key: dict[str, tuple] = {}
+        self.cased: dict[str, tuple] = {}
+        for key, cs, canonical, category in rows:
+            (self.cased if cs else self.by_key).setdefault(key, (canonical, category))
+        self.begins, self.cased_begins = ({k[:n] for k in d for n in range(1, len(k) + 1)} for d in (self.by_key, self.cased))
+
+    def runs(self, toks: list[tuple[int, int, str]], folded: dict, guard: bool):
+        """Hits (i, n, start, end, canonical, category, cs) in order of i, then n."""
+        keys = []
+        for _, _, surface in toks:
+            pair = folded.get(surface)
+            if pair is None:
+                pair = folded[surface] = (fold(surface), fold_case_kept(surface))
+            keys.append(pair)
+        for i, (start, _, _) in enumerate(toks):
+            if not keys[i][0]:
+                continue
+            for cs, table, begins in ((False, self.by_key, self.begins), (True, self.cased, self.cased_begins)):
+                run = ""
+                for n in range(1, min(M.MAX_RUN, len(toks) - i) + 1):
+                    run += keys[i + n - 1][cs]
+                    if run not in begins:
+                        break
+                    if run in table:
+                        end = toks[i + n - 1][1]
+                        if guard and i and toks[i - 1][1] == start and _LATIN.match(keys[i - 1][0][-1:]):
+                            continue
+                        if guard and i + n < len(toks) and toks[i + n][0] == end and _LATIN.match(keys[i + n][0][:1]):
+                            continue
+                        yield (i, n, start, end, *table[run], cs)
+
+
+def _longest(hits) -> list:
+    """Leftmost-longest hits without overlap, case-insensitive before case-sensitive at equal length."""
+    out, at = [], 0
+    for hit in sorted(hits, key=lambda h: (h[0], -h[1], h[6], h[2:6])):
+        if hit[0] >= at:
+            out.append(hit)
+            at = hit[0] + hit[1]
+    return out
+
+
+def _rows_of(source: DataFrame) -> DataFrame:
+    """``source`` with one row for each part: texts (part_id, text) as they are, supplied tokens as an array ``toks``."""
+    if "text" in source.columns:
+        return source.select("part_id", "text")
+    return source.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("i", "start", "end", "surface"))).alias("toks"))
+
+
+def _toks(value, cut: re.Pattern | None) -> list[tuple[int, int, str]]:
+    toks = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(value or "")] if value is None or isinstance(value, str) else [(x["start"], x["end"], x["surface"]) for x in value]
+    return toks if cut is None else [(s + m.start(), s + m.end(), m[0]) for s, _, x in toks for m in cut.finditer(x)]
+
+
+def term_runs(source: DataFrame, keys: DataFrame | None, guard: bool, cut: re.Pattern | None = None) -> DataFrame:
+    """Term hits on token runs of each part, without overlap: part_id, i, n, start, end, canonical, category, cs.
+
+    ``source`` holds parts (part_id, text), read by the default tokeniser, or tokens. ``keys`` are terms for all parts;
+    if None, ``source`` has a column ``terms``, each part's own (key, cs, canonical, category). A part is settled in one
+    pass; nothing is shuffled but supplied tokens. ``cut`` splits tokens first. Null texts have no tokens.
+    """
+    own = keys is None
+    if not own and keys.count() > HELD_TERMS:
+        toks = tokens(source) if "text" in source.columns else source
+        return greedy(_runs(atoms(toks) if cut else toks, keys, guard))
+    shared = None if own else source.sparkSession.sparkContext.broadcast([tuple(r) for r in keys.select("key", "cs", "canonical", "category").orderBy("key", "cs", "canonical").collect()])  # at most HELD_TERMS
+    rows = source if own else _rows_of(source)
+    kind = rows.schema["part_id"].dataType.simpleString()
+    held = next(c for c in ("text", "toks") if c in rows.columns)
+
+    def run(batches):
+        every, folded = None if own else _Terms(shared.value), {}
+        for batch in batches:
+            part_type, out = batch.column(0).type, []
+            terms = batch.column(2).to_pylist() if own else [None] * batch.num_rows
+            for part, value, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), terms):
+                table = every or _Terms((x["key"], x["cs"], x["canonical"], x["category"]) for x in mine or ())
+                out += [(part, *h) for h in _longest(table.runs(_toks(value, cut), folded, guard))]
+                if len(folded) > 200_000:
+                    folded.clear()
+            types = (part_type, *[pa.int32()] * 4, pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 8, types)], names=["part_id", "i", "n", "start", "end", "canonical", "category", "cs"])
+
+    schema = f"part_id {kind}, i int, n int, start int, end int, canonical string, category string, cs boolean"
+    return rows.select("part_id", held, *(["terms"] if own else [])).mapInArrow(run, schema)
+
+
+def own_term_runs(source: DataFrame, terms: DataFrame, guard: bool) -> DataFrame:
+    """As ``term_runs``, for terms (part_id, key, cs, canonical, category) that count in their own part only."""
+    mine = terms.groupBy("part_id").agg(F.sort_array(F.collect_set(F.struct("key", "cs", "canonical", "category"))).alias("terms"))
+    return term_runs(_rows_of(source).join(mine, "part_id"), None, guard)
+
+
 def _runs(toks: DataFrame, keys: DataFrame, guard: bool) -> DataFrame:
     """Token runs whose joined keys are terms: part_id, i, n, start, end, canonical, category, cs.
 
-    Runs are made by window functions over a part's tokens, none longer in tokens or characters than the
-    longest term, and met with the terms by an equi-join.
+    For term lists too large for a worker. Runs are made by window functions over a part's tokens, none longer in
+    tokens or characters than the longest term, and met with the terms by an equi-join.
     """
     limits = keys.agg(F.max(F.length("key")).alias("chars"), F.bool_or("cs").alias("cs")).first()
     longest = limits["chars"] or 0
@@ -109,46 +212,93 @@ def _runs(toks: DataFrame, keys: DataFrame, guard: bool) -> DataFrame:
 
 def greedy(hits: DataFrame) -> DataFrame:
     """Leftmost-longest hits without overlap, case-insensitive before case-sensitive at equal length."""
-    fields = [F.col("i"), (-F.col("n")).alias("k"), F.col("cs"), F.col("start"), F.col("end"), F.col("canonical"), F.col("category")]
-    kind = "array<struct<i:int,k:int,cs:boolean,start:int,end:int,canonical:string,category:string>>"
-    keep = lambda s, x: F.when(x["i"] >= s["next"], F.struct((x["i"] - x["k"]).alias("next"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
-    zero = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("out"))
-    grouped = hits.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(kind).alias("h"))
-    taken = grouped.select("part_id", F.explode(F.aggregate("h", zero, keep, lambda s: s["out"])).alias("x"))
-    return taken.select("part_id", "x.i", (-F.col("x.k")).alias("n"), "x.start", "x.end", "x.canonical", "x.category", "x.cs")
+    names = ["i", "n", "start", "end", "canonical", "category", "cs"]
+    kind = hits.schema["part_id"].dataType.simpleString()
+    grouped = hits.groupBy("part_id").agg(F.collect_list(F.struct(*names)).alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            out = [(part, *x) for part, h in zip(*(c.to_pylist() for c in batch.columns)) for x in _longest(tuple(y[k] for k in names) for y in h)]
+            types = (batch.column(0).type, *[pa.int32()] * 4, pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 8, types)], names=["part_id", *names])
+
+    return grouped.mapInArrow(run, f"part_id {kind}, i int, n int, start int, end int, canonical string, category string, cs boolean")
 
 
-def dictionary_hits(toks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Whole matches of terms on token runs: not inside a longer Latin identifier."""
-    return greedy(_runs(toks, keys, guard=True))
+def dictionary_hits(source: DataFrame, keys: DataFrame) -> DataFrame:
+    """Whole matches of terms on token runs: not inside a longer Latin identifier. ``source``: as in ``term_runs``."""
+    return term_runs(source, keys, guard=True)
 
 
 def atoms(parts_tokens: DataFrame) -> DataFrame:
     """Tokens cut into identifier parts, runs of other letters, and single marks, for partial matching."""
-    pattern = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7F\s]+|\S"
-    cut = parts_tokens.select("part_id", "i", "start", F.posexplode(pattern_spans(F.col("surface"), pattern)).alias("k", "s"))
+    cut = parts_tokens.select("part_id", "i", "start", F.posexplode(pattern_spans(F.col("surface"), ATOM.pattern)).alias("k", "s"))
     w = Window.partitionBy("part_id").orderBy("ti", "k")
     cut = cut.select("part_id", F.col("i").alias("ti"), "k", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"), F.col("s.surface").alias("surface"))
     return cut.select("part_id", (F.row_number().over(w) - 1).alias("i"), "start", "end", "surface")
 
 
-def partial_hits(toks: DataFrame, keys: DataFrame) -> DataFrame:
+def partial_hits(source: DataFrame, keys: DataFrame) -> DataFrame:
     """Matches of partial terms on runs of atoms, without the guard."""
-    return greedy(_runs(atoms(toks), keys.where("partial"), guard=False))
-
-
-def cjk_substring_hits(toks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Terms of two or more CJK characters inside one token but not all of it; overlapping hits all count."""
-    cjk = keys.where("not cs").where(F.length("key") >= 2).where(F.col("key").rlike("^[぀-ヿ㐀-鿿豈-﫿]+$"))
-    sizes = [r[0] for r in cjk.select(F.length("key")).distinct().collect()]  # lengths of terms, few
-    out = None
-    t = toks.withColumn("ci", normalize("surface")).where(F.length("ci") == F.length("surface"))
-    for n in sorted(sizes):
-        grams = t.where(F.length("ci") > n).select("part_id", "start", "ci", F.explode(F.sequence(F.lit(0), F.length("ci") - n)).alias("k"))
-        grams = grams.select("part_id", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + n).alias("end"), F.expr(f"substring(ci, k + 1, {n})").alias("key"))
-        hit = grams.join(_small(cjk.select("key", "canonical", "category")), "key").select("part_id", "start", "end", "canonical", "category")
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else toks.sparkSession.createDataFrame([], "part_id string, start int, end int, canonical string, category string")
+    return term_runs(source, keys.where("partial"), guard=False, cut=ATOM)
+
+
+def cjk_substring_hits(source: DataFrame, keys: DataFrame) -> DataFrame:
+    """Terms of two or more CJK characters inside one token but not all of it; overlapping hits all count.
+
+    Tokens are normalised character by character, each kept with its place, so half-width letters that change the
+    length are found where they stand. Case-sensitive terms are met with their case. Terms beyond HELD_TERMS are met by
+    a join on the token's substrings of their lengths.
+    """
+    cjk = keys.where(F.length("key") >= 2).where(F.col("key").rlike("^[぀-ヿ㐀-鿿豈-﫿]+$")).select("key", "cs", "canonical", "category")
+    kind = source.schema["part_id"].dataType.simpleString()
+    n_terms = cjk.count()
+    held = n_terms <= HELD_TERMS
+    sizes = sorted(r[0] for r in cjk.select(F.length("key")).distinct().collect())  # lengths of terms, few
+    shared = source.sparkSession.sparkContext.broadcast({(r[1], r[0]): (r[2], r[3]) for r in cjk.orderBy(F.desc("canonical")).collect()} if held else {})
+
+    def run(batches):
+        terms, plain = shared.value, re.compile(r"[\x00-\x7f]*")
+        for batch in batches:
+            out = []
+            for part, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for start, _, surface in _toks(value, None):
+                    if not n_terms or plain.fullmatch(surface):
+                        continue
+                    for cs, by in ((False, fold), (True, fold_case_kept)):
+                        chars = [(c, i) for i, ch in enumerate(surface) for c in by(ch)]
+                        whole = "".join(c for c, _ in chars)
+                        for n in sizes:
+                            for k in range(len(whole) - n + 1) if len(whole) > n else ():
+                                if not held or (cs, whole[k : k + n]) in terms:
+                                    out.append((part, start + chars[k][1], start + chars[k + n - 1][1] + 1, whole[k : k + n], cs, *terms.get((cs, whole[k : k + n]), (None, None))))
+            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 7, types)], names=["part_id", "start", "end", "key", "cs", "canonical", "category"])
+
+    rows = _rows_of(source)
+    found = rows.select(*rows.columns[:2]).mapInArrow(run, f"part_id {kind}, start int, end int, key string, cs boolean, canonical string, category string")
+    found = found if held else found.drop("canonical", "category").join(cjk, ["key", "cs"])
+    return found.select("part_id", "start", "end", "canonical", "category")
+
+
+def term_table(keys: DataFrame | None) -> DataFrame | None:
+    """The terms (key, cs, canonical, mask) by which surfaces find their entry, one for each key."""
+    return None if keys is None else keys.groupBy("key", "cs").agg(F.min(F.struct("canonical", "mask")).alias("x")).select("key", "cs", "x.canonical", "x.mask")
+
+
+def with_terms(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """``spans`` with ``cs`` (whether the surface is a case-sensitive term), and the ``canonical`` and ``mask`` of its term.
+
+    A surface that is a case-sensitive term is that term; else it is looked up without case.
+    """
+    if terms is None:
+        none = F.lit(None).cast("string")
+        return spans.withColumn("cs", F.lit(False)).withColumn("canonical", none).withColumn("mask", none)
+    kept = terms.where("cs").select(F.col("key").alias("_ck"), F.struct("canonical", "mask").alias("_kept"))
+    plain = terms.where("not cs").select(F.col("key").alias("_ci"), F.struct("canonical", "mask").alias("_plain"))
+    s = spans.withColumn("_ck", normalize_case_kept("surface")).withColumn("_ci", normalize("surface"))
+    s = s.join(_small(kept), "_ck", "left").join(_small(plain), "_ci", "left").withColumn("_t", F.coalesce("_kept", "_plain"))
+    return s.withColumn("cs", F.col("_kept").isNotNull()).withColumn("canonical", F.col("_t.canonical")).withColumn("mask", F.col("_t.mask")).drop("_ck", "_ci", "_kept", "_plain", "_t")
 
 
 def embedded_audit(toks: DataFrame, keys: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ surface, category, confidence, votes). Everything is planned around one exchange
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +68,67 @@ def system_category(votes: Column, surface: Column, llm: bool) -> Column:
     return S.category_of_rank(F.array_min(F.transform(category, lambda c: S.category_rank(c))))
 
 
-def merged(clustered: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidates of the clusters: category and confidence by the consensus of the two systems."""
-    spans = emitted(clustered)
-    by = ["part_id", "cluster"]
-    met = spans.alias("e").join(clustered.alias("m"), [F.col(f"m.{c}") == F.col(f"e.{c}") for c in by] + [F.col("m.start") < F.col("e.e_end"), F.col("e.e_start") < F.col("m.end")])
-    inside = (F.col("e_start") <= F.col("m.start")) & (F.col("m.end") <= F.col("e_end"))
-    counts = ~F.col("channel").isin(*M.DECISIVE) | inside
-    row = F.struct(F.col("m.start").alias("s"), F.col("m.end").alias("t"), "ord", "seq", "channel", "label", "category", counts.alias("counts"))
-    grouped = met.groupBy(F.col("e.part_id").alias("part_id"), F.col("e_start").alias("start"), F.col("e_end").alias("end")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    votes = F.array_distinct(F.transform(F.filter("rows", lambda r: r["counts"]), lambda r: F.struct(r["channel"].alias("channel"), r["label"].alias("label"))))
-    out = grouped.select("part_id", "start", "end", votes.alias("votes"), F.get("rows", F.lit(0))["category"].alias("first"))
-    out = out.join(parts.select("part_id", "text"), "part_id").withColumn("surface", F.expr("substring(text, start + 1, end - start)")).drop("text")
+def _spans(votes: list[dict]) -> list[tuple[int, int, list[dict]]]:
+    """Spans that a part's votes stand for, each with the votes that it meets, all in order of (start, end, ord, seq)."""
+    out, at = [], 0
+    while at < len(votes):
+        to, reach = at + 1, votes[at]["end"]
+        while to < len(votes) and votes[to]["start"] < reach:
+            reach = max(reach, votes[to]["end"])
+            to += 1
+        cluster, at = votes[at:to], to
+        anchors = sorted({(v["start"], v["end"]) for v in cluster if v["channel"] in M.ANCHORS})
+        found = list(anchors)
+        if not anchors:
+            found = [(cluster[0]["start"], reach)]
+        else:
+            ends = list(itertools.accumulate((e for _, e in anchors), max))
+            rest = None
+            for v in cluster:
+                k = bisect.bisect_left(anchors, (v["end"],))  # anchors that begin before the vote ends
+                if v["channel"] in M.ANCHORS or (k and ends[k - 1] > v["start"]):
+                    continue
+                if rest and v["start"] < rest[1]:
+                    rest = rest[0], max(rest[1], v["end"])
+                    continue
+                found += [rest] if rest else []
+                rest = v["start"], v["end"]
+            found += [rest] if rest else []
+        starts, ends = [v["start"] for v in cluster], list(itertools.accumulate((v["end"] for v in cluster), max))
+        for lo, hi in sorted(set(found)):
+            first, last = bisect.bisect_right(ends, lo), bisect.bisect_left(starts, hi)
+            met = [v for v in cluster[first:last] if v["end"] > lo]
+            if met:
+                out.append((lo, hi, met))
+    return out
+
+
+def resolved(votes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part_id, start, end, surface, votes, first): the spans of a part's clusters with the votes that count for each.
+
+    A part's votes are gathered once and settled in one pass; the windows of ``clusters`` and ``emitted`` say the same.
+    """
+    kind = votes.schema["part_id"].dataType.simpleString()
+    row = F.struct("start", "end", _channel_order(F.col("channel")).alias("ord"), "seq", "channel", "label", "category")
+    held = votes.groupBy("part_id").agg(F.array_sort(F.collect_list(row)).alias("v")).join(parts.select("part_id", "text"), "part_id")
+
+    def run(batches):
+        vote = pa.list_(pa.struct([("channel", pa.string()), ("label", pa.string())]))
+        for batch in batches:
+            out = []
+            for part, mine, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for lo, hi, met in _spans(mine):
+                    counted = dict.fromkeys((v["channel"], v["label"]) for v in met if v["channel"] not in M.DECISIVE or (lo <= v["start"] and v["end"] <= hi))
+                    out.append((part, lo, hi, (text or "")[lo:hi], [{"channel": c, "label": x} for c, x in counted], met[0]["category"]))
+            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.string(), vote, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 6, types)], names=["part_id", "start", "end", "surface", "votes", "first"])
+
+    return held.select("part_id", "v", "text").mapInArrow(run, f"part_id {kind}, start int, end int, surface string, votes {VOTES}, first string")
+
+
+def merged(votes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidates of the clusters of votes: category and confidence by the consensus of the two systems."""
+    out = resolved(votes, parts)
     out = out.withColumn("ner", system_category(F.col("votes"), F.col("surface"), False)).withColumn("model", system_category(F.col("votes"), F.col("surface"), True))
     named = F.filter(F.transform(F.filter("votes", lambda v: v["channel"] == "dict"), lambda v: S.vote_category(v["channel"], v["label"])), lambda c: c.isNotNull())
     special = sum((F.when(F.col(c).isNotNull() & ~F.col(c).isin(*M.PLAIN), 1).otherwise(0) for c in ("ner", "model")), F.lit(0))
@@ -117,7 +170,7 @@ def allowed(candidates: DataFrame, entries: DataFrame, toks: DataFrame | None =
 
     Partial entries match runs of parts of the surface, or of the tokens that cover it where ``toks`` is given.
     """
-    from veilspark.operators.channels import BROADCAST_TERMS, _runs, atoms
+    from veilspark.operators.channels import ATOM, BROADCAST_TERMS, term_runs, tokens
 
     cs = F.coalesce("case_sensitive", F.lit(False))
     tidy = F.trim(F.regexp_replace("surface", r"(?U)\s+", " "))
@@ -131,10 +184,11 @@ def allowed(candidates: DataFrame, entries: DataFrame, toks: DataFrame | None =
     if toks is None:
         pieces = candidates.select(F.struct("part_id", "start", "end").alias("part_id"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.length("surface").alias("end"), "surface")
     else:
+        toks = tokens(toks) if "text" in toks.columns else toks
         t = toks.select("part_id", "i", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("surface").alias("t_surface"))
         over = candidates.select("part_id", "start", "end").join(t, "part_id").where("t_start < end and start < t_end")
         pieces = over.select(F.struct("part_id", "start", "end").alias("part_id"), "i", F.col("t_start").alias("start"), F.col("t_end").alias("end"), F.col("t_surface").alias("surface"))
-    inner = _runs(atoms(pieces), part, guard=False).select("part_id.*", F.lit(True).alias("hit_in")).distinct() if part.limit(1).count() else None
+    inner = term_runs(pieces, part, False, ATOM).select("part_id.*", F.lit(True).alias("hit_in")).distinct() if part.limit(1).count() else None
     c = c.join(inner, ["part_id", "start", "end"], "left") if inner is not None else c.withColumn("hit_in", F.lit(None).cast("boolean"))
     named = F.exists("votes", lambda v: v["channel"] == "dict")
     hit = F.coalesce("hit_ci", "hit_ck", "hit_in", F.lit(False))
@@ -153,11 +207,9 @@ def groups(candidates: DataFrame, keys: DataFrame | None = None, by: str = "part
 
     The best confidence, then the best category, then the first occurrence represents an entity.
     """
-    c = candidates.withColumn("ci", S.normalize("surface"))
-    if keys is not None:
-        c = c.join(F.broadcast(keys.where("not cs").select(F.col("key").alias("ci"), F.col("canonical").alias("name")).dropDuplicates(["ci"])), "ci", "left")
-    else:
-        c = c.withColumn("name", F.lit(None).cast("string"))
+    from veilspark.operators.channels import term_table, with_terms
+
+    c = with_terms(candidates, term_table(keys)).withColumn("name", F.col("canonical")).withColumn("ci", S.normalize("surface"))
     c = c.withColumn("key", F.coalesce(S.normalize("name"), "ci"))
     best = F.struct((-S.confidence_rank(F.col("confidence"))).alias("c"), S.category_rank(F.col("category")).alias("r"), "start", "end", "surface", "category", "confidence", "name")
     member = F.struct("start", "end", "surface", "votes")

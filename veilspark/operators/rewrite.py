@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
+import bisect
+import html
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions import scalars as S
 from veilspark.functions.prepare import back_project
-from veilspark.operators.channels import _runs, greedy
+from veilspark.operators.channels import own_term_runs, with_terms
 
-SPANS = "array<struct<start:int,end:int,placeholder:string>>"
 
 
-def numbered(selected: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+def numbered(selected: DataFrame, terms: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Mapping of a bundle's selected spans to placeholders.
 
     ``selected``: bundle_id, part_id, ordinal (order of selection in the bundle), start, end, surface, category,
-    confidence, votes. One placeholder for each exact surface, or for each canonical term that ``fixed`` (ci,
+    confidence, votes. One placeholder for each exact surface, or for each canonical term that ``terms`` (key, cs,
     canonical, mask) gives a mask; numbers run by category in order of first appearance, fixed masks take none.
+    With ``known``, the mapping so far of bundles that go on, what it names keeps its placeholder and numbers go on.
     """
-    c = selected
-    if fixed is not None:
-        c = c.withColumn("ci", S.normalize("surface")).join(F.broadcast(fixed.select("ci", "canonical", "mask")), "ci", "left").drop("ci")
-    else:
-        c = c.withColumn("canonical", F.lit(None).cast("string")).withColumn("mask", F.lit(None).cast("string"))
+    c = with_terms(selected, terms)
     key = F.when(F.col("mask").isNotNull(), F.concat(F.lit("c:"), S.normalize("canonical"))).otherwise(F.concat(F.lit("s:"), F.col("surface")))
     best = F.struct((-S.confidence_rank(F.col("confidence"))).alias("c"), S.category_rank(F.col("category")).alias("r"), "ordinal", "surface", "category", "confidence")
     member = F.struct("ordinal", "part_id", "start", "end", "surface", "votes")
     g = c.groupBy("bundle_id", key.alias("key")).agg(F.min("ordinal").alias("first"), F.min(best).alias("b"), F.max("mask").alias("mask"), F.max("canonical").alias("canonical"), F.array_sort(F.collect_list(member)).alias("m"))
     g = g.withColumn("category", F.col("b.category"))
-    w = Window.partitionBy("bundle_id", "category", F.col("mask").isNotNull()).orderBy("first")
-    number = F.concat(F.lit("["), S.placeholder_prefix(F.col("category")), F.row_number().over(w).cast("string"), F.lit("]"))
+    if known is None:
+        g = g.withColumn("old", F.lit(None).cast("string")).withColumn("used", F.lit(0))
+    else:
+        g = g.join(known.groupBy("bundle_id", "key").agg(F.min("placeholder").alias("old")), ["bundle_id", "key"], "left")
+        g = g.join(known.groupBy("bundle_id", "category").agg(F.max("number").alias("used")), ["bundle_id", "category"], "left")
+    fresh = F.col("mask").isNull() & F.col("old").isNull()
+    w = Window.partitionBy("bundle_id", "category", fresh).orderBy("first")
+    g = g.withColumn("number", F.when(fresh, F.row_number().over(w) + F.coalesce("used", F.lit(0))))
+    named = F.concat(F.lit("["), S.placeholder_prefix(F.col("category")), F.col("number").cast("string"), F.lit("]"))
     votes = F.array_distinct(F.flatten(F.transform("m", lambda x: x["votes"])))
     return g.select(
         "bundle_id",
-        F.coalesce("mask", number).alias("placeholder"),
+        F.coalesce("mask", "old", named).alias("placeholder"),
         "category",
         F.array_distinct(F.transform("m", lambda x: x["surface"])).alias("surfaces"),
         F.when(F.col("mask").isNotNull(), F.col("canonical")).otherwise(F.col("b.surface")).alias("canonical"),
@@ -42,18 +51,34 @@ def numbered(selected: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
         S.decided_by(votes).alias("decided_by"),
         F.transform("m", lambda x: F.struct(x["part_id"].alias("part_id"), x["start"].alias("start"), x["end"].alias("end"))).alias("occurrences"),
         "first",
+        "key",
+        "number",
     )
 
 
+@F.arrow_udf(T.StringType())
+def _rewritten(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, marks in zip(texts.to_pylist(), spans.to_pylist()):
+        if text is None or not marks:
+            out.append(text)
+            continue
+        kept, low = [], None
+        for x in sorted(marks, key=lambda x: (x["start"], x["end"], x["placeholder"]), reverse=True):
+            if low is None or x["end"] <= low:
+                kept.append(x)
+                low = x["start"]
+        pieces, at = [], 0
+        for x in reversed(kept):
+            pieces += [text[at : x["start"]], x["placeholder"]]
+            at = x["end"]
+        out.append("".join(pieces) + text[at:])
+    return pa.array(out, pa.string())
+
+
 def rewrite(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced; of overlapping spans the later start stays, the longer of equal starts."""
-    from_right = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["placeholder"].alias("placeholder")))))
-    keep = lambda st, x: F.when(x["end"] <= st["lo"], F.struct(x["start"].alias("lo"), F.concat(st["out"], F.array(x)).alias("out"))).otherwise(st)
-    zero = F.struct(F.lit(2**31 - 1).alias("lo"), F.array().cast(SPANS).alias("out"))
-    kept = F.reverse(F.aggregate(from_right, zero, keep, lambda st: st["out"]))
-    join = lambda st, x: F.struct(x["end"].alias("at"), F.concat(st["out"], F.substring(text, st["at"] + 1, x["start"] - st["at"]), x["placeholder"]).alias("out"))
-    done = lambda st: F.concat(st["out"], F.substring(text, st["at"] + 1, F.length(text)))
-    return F.aggregate(kept, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), join, done)
+    return _rewritten(text, spans)
 
 
 def apply_mapping(parts: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -64,13 +89,28 @@ def apply_mapping(parts: DataFrame, mapping: DataFrame) -> DataFrame:
     return parts.join(spans, ["bundle_id", "part_id"], "left").withColumn("masked_text", masked).drop("spans")
 
 
+@F.arrow_udf(T.StringType())
+def _restored(texts: pa.Array, entries: pa.Array) -> pa.Array:
+    out = []
+    for text, known in zip(texts.to_pylist(), entries.to_pylist()):
+        held = {}
+        for e in known or ():
+            value = e["canonical"] if e["canonical"] is not None else next(iter(e["surfaces"] or ()), None)
+            if e["placeholder"] and value is not None:
+                held[e["placeholder"]] = value
+        there = sorted((p for p in held if p in text), key=lambda p: (-len(p), p)) if text else ()
+        for p in there:
+            text = text.replace(p, held[p])
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
 def unmask(text: Column, entries: Column) -> Column:
     """Placeholders replaced by canonical surfaces, longest placeholder first; unknown ones stay.
 
     ``entries``: array of (placeholder, canonical, surfaces).
     """
-    order = F.array_sort(F.transform(entries, lambda e: F.struct((-F.length(e["placeholder"])).alias("k"), e["placeholder"].alias("p"), F.coalesce(e["canonical"], F.get(e["surfaces"], F.lit(0))).alias("s"))))
-    return F.aggregate(order, text, lambda t, e: F.replace(t, e["p"], e["s"]))
+    return _restored(text, entries)
 
 
 def unmasked(masked: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -79,19 +119,41 @@ def unmasked(masked: DataFrame, mapping: DataFrame) -> DataFrame:
     return masked.join(entries, "bundle_id", "left").withColumn("restored", restored).drop("entries")
 
 
-def expanded(selected: DataFrame, toks: DataFrame, parts: DataFrame) -> DataFrame:
-    """Further occurrences of selected surfaces as token runs in the same part, where they meet no selected span."""
-    want = selected.select("part_id", S.normalize("surface").alias("key"), "category").dropDuplicates(["part_id", "key"])
-    keys = want.select("key", F.lit(False).cast("boolean").alias("cs"), F.lit("").alias("canonical"), F.lit("").alias("category")).distinct()
-    runs = _runs(toks, keys, guard=False)
-    t = parts.select("part_id", "text")
-    runs = runs.join(t, "part_id").withColumn("surface", F.expr("substring(text, start + 1, end - start)")).withColumn("key", S.normalize("surface"))
-    runs = runs.drop("category").join(want, ["part_id", "key"])
-    hits = greedy(runs.select("part_id", "i", "n", "start", "end", F.col("surface").alias("canonical"), "category", "cs"))
-    s = selected.select("part_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    free = hits.alias("h").join(s.alias("s"), [F.col("h.part_id") == F.col("s.part_id"), F.col("h.start") < F.col("s_end"), F.col("s_start") < F.col("h.end")], "left_anti")
+def expanded(selected: DataFrame, source: DataFrame, parts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Further occurrences of selected surfaces as token runs in the same part, where they meet no selected span.
+
+    Surfaces that are case-sensitive ``terms`` spread with their case, all others without. The best confidence, then
+    the best category, of a surface's spans names the category.
+    """
+    s = with_terms(selected, terms).withColumn("key", F.when(F.col("cs"), S.normalize_case_kept("surface")).otherwise(S.normalize("surface")))
+    best = F.struct((-S.confidence_rank(F.col("confidence"))).alias("c"), S.category_rank(F.col("category")).alias("r"), "start", "end", "category")
+    want = s.where("key <> ''").groupBy("part_id", "key", "cs").agg(F.min(best)["category"].alias("category"))
+    hits = own_term_runs(source, want.select("part_id", "key", "cs", F.lit("").alias("canonical"), "category"), guard=False)
+    taken = selected.groupBy("part_id").agg(F.collect_set(F.struct("start", "end")).alias("taken"))
+    h = hits.groupBy("part_id").agg(F.collect_list(F.struct("start", "end", "category")).alias("h")).join(taken, "part_id").join(parts.select("part_id", "text"), "part_id")
+    free = h.select("part_id", F.explode(_free(F.col("text"), F.col("h"), F.col("taken"))).alias("x"))
     votes = F.array(F.struct(F.lit("collected").alias("channel"), F.lit("展開").alias("label")))
-    return free.select("part_id", "start", "end", F.col("canonical").alias("surface"), "category", F.lit("確定").alias("confidence"), votes.alias("votes"))
+    return free.select("part_id", "x.start", "x.end", "x.surface", "x.category", F.lit("確定").alias("confidence"), votes.alias("votes"))
+
+
+_FREE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType()), T.StructField("category", T.StringType())]))
+
+
+@F.arrow_udf(_FREE)
+def _free(texts: pa.Array, hits: pa.Array, taken: pa.Array) -> pa.Array:
+    """The hits of each part that meet no taken span, with their text."""
+    out = []
+    for text, found, spans in zip(texts.to_pylist(), hits.to_pylist(), taken.to_pylist()):
+        spans = sorted((x["start"], x["end"]) for x in spans)
+        reach = list(itertools.accumulate((e for _, e in spans), max))  # the furthest end of the spans up to each
+        kept = []
+        for x in found:
+            k = bisect.bisect_left(spans, (x["end"],))  # spans that begin before the hit ends
+            if not k or reach[k - 1] <= x["start"]:
+                kept.append({"start": x["start"], "end": x["end"], "surface": text[x["start"] : x["end"]], "category": x["category"]})
+        out.append(kept)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("category", pa.string())]))
+    return pa.array(out, kind)
 
 
 def in_original(candidates: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -116,17 +178,25 @@ def pending(groups: DataFrame, level: str = "strong") -> DataFrame:
     return m.select("bundle_id", first["surface"].alias("surface"), first["category"].alias("category"), S.to_wire(first["confidence"]).alias("confidence"), first["votes"].alias("votes"), occurrences.alias("occurrences"))
 
 
+@F.arrow_udf(T.StringType())
+def _marked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, marks in zip(texts.to_pylist(), spans.to_pylist()):
+        if text is None or marks is None:
+            out.append(None)
+            continue
+        pieces, at = [], 0
+        for x in sorted(marks, key=lambda x: (x["start"], x["end"], x["colour"])):
+            if x["start"] >= at:
+                pieces += [html.escape(text[at : x["start"]]), '<mark style="background:', x["colour"], '">', html.escape(text[x["start"] : x["end"]]), "</mark>"]
+                at = x["end"]
+        out.append("".join(pieces) + html.escape(text[at:]))
+    return pa.array(out, pa.string())
+
+
 def highlighted(text: Column, spans: Column) -> Column:
     """HTML with marks: spans sorted by start, those that overlap an earlier one dropped, texts escaped.
 
     ``spans``: array of (start, end, colour).
     """
-    step = lambda st, x: F.when(
-        x["start"] >= st["at"],
-        F.struct(
-            x["end"].alias("at"),
-            F.concat(st["out"], S.escape_html(F.substring(text, st["at"] + 1, x["start"] - st["at"])), F.lit('<mark style="background:'), x["colour"], F.lit('">'), S.escape_html(F.substring(text, x["start"] + 1, x["end"] - x["start"])), F.lit("</mark>")).alias("out"),
-        ),
-    ).otherwise(st)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(F.array_sort(spans), zero, step, lambda st: F.concat(st["out"], S.escape_html(F.substring(text, st["at"] + 1, F.length(text)))))
+    return _marked(text, spans)

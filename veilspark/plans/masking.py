@@ -16,7 +16,10 @@ from veilspark.shared import written
 
 @dataclass
 class Analysis:
-    """Tables of an analysis. Tokens, votes and candidates are computed once and kept in the shared folder."""
+    """Tables of an analysis. Votes and candidates are computed once and kept in the shared folder.
+
+    ``tokens`` are supplied tokens, or the parts themselves, which the default tokeniser reads where tokens are needed.
+    """
 
     parts: DataFrame
     tokens: DataFrame
@@ -27,9 +30,9 @@ class Analysis:
 def analyze(parts: DataFrame, entries: DataFrame | None = None, tokens: DataFrame | None = None, entities: DataFrame | None = None, llm_spans: DataFrame | None = None, allowlist: DataFrame | None = None, extra_terms: DataFrame | None = None) -> Analysis:
     """Candidates of parts (part_id, text) from a dictionary, supplied entities and spans, and contact shapes.
 
-    Two passes: strong candidates of the first are looked up again in their part, as session votes.
+    Case-sensitive terms are met and spread with their case only. Two passes: strong candidates of the first are looked up again in their part, as session votes.
     """
-    toks = tokens if tokens is not None else written(C.tokens(parts), "tokens")
+    toks = tokens if tokens is not None else parts.select("part_id", "text")
     keys = written(C.terms(entries), "terms") if entries is not None else None
     votes = []
     if keys is not None:
@@ -47,10 +50,10 @@ def analyze(parts: DataFrame, entries: DataFrame | None = None, tokens: DataFram
     for v in votes[1:]:
         every = every.unionByName(v)
     every = written(every, "votes")
-    first = written(K.merged(K.clusters(every), parts), "candidates")
+    first = written(K.merged(every, parts), "candidates")
     promoted = K.promoted_terms(first, extra_terms)
     again = written(session_votes(toks, written(promoted, "promoted")), "votes")
-    found = K.merged(K.clusters(every.unionByName(again)), parts)
+    found = K.merged(every.unionByName(again), parts)
     found = K.demoted(K.with_contacts(found, contacts))
     if allowlist is not None:
         found = K.allowed(written(found, "candidates"), allowlist, toks)
@@ -58,16 +61,9 @@ def analyze(parts: DataFrame, entries: DataFrame | None = None, tokens: DataFram
 
 
 def session_votes(toks: DataFrame, promoted: DataFrame) -> DataFrame:
-    """Whole matches of each part's own promoted terms: a shuffle join on (part, key), since terms differ by part."""
-    keys = promoted.select("key", F.lit(False).alias("cs"), F.lit("").alias("canonical"), F.lit("").alias("category")).distinct()
-    runs = C._runs(toks, keys, guard=True).drop("category", "canonical")
-    text = toks.select("part_id", "i", "surface")
-    # the key of a run is that of its tokens' surfaces; it is rebuilt to meet the part's own terms
-    at = runs.select("*", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("j"))
-    joined = at.join(text.withColumnRenamed("i", "j"), ["part_id", "j"]).groupBy("part_id", "i", "n", "start", "end", "cs").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "surface"))), lambda x: x["surface"]), "").alias("s"))
-    own = joined.withColumn("key", C.normalize("s")).join(promoted.select("part_id", "key", "surface", "category"), ["part_id", "key"])
-    hits = C.greedy(own.select("part_id", "i", "n", "start", "end", F.col("surface").alias("canonical"), "category", "cs"))
-    return C.term_votes(hits, "session", "確認済")
+    """Whole matches of each part's own promoted terms, one pass over a part with its terms."""
+    own = promoted.select("part_id", "key", F.lit(False).alias("cs"), F.col("surface").alias("canonical"), "category")
+    return C.term_votes(C.own_term_runs(toks, own, guard=True), "session", "確認済")
 
 
 def selected(analysis: Analysis, bundles: DataFrame, level: str = "strong") -> DataFrame:
@@ -80,15 +76,17 @@ def selected(analysis: Analysis, bundles: DataFrame, level: str = "strong") -> D
     return m.select("bundle_id", "part_id", order.alias("ordinal"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), "surface", F.col("own_category").alias("category"), F.col("own_confidence").alias("confidence"), F.col("own_votes").alias("votes"))
 
 
-def mask(analysis: Analysis, bundles: DataFrame, level: str = "strong", expand: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(masked parts, mapping) of bundles (bundle_id, part_id, part_index) under one mapping a bundle."""
+def mask(analysis: Analysis, bundles: DataFrame, level: str = "strong", expand: bool = True, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked parts, mapping) of bundles (bundle_id, part_id, part_index) under one mapping a bundle.
+
+    ``known`` is the mapping so far of bundles that go on.
+    """
     chosen = written(selected(analysis, bundles, level), "chosen")
     if expand:
-        more = written(R.expanded(chosen, analysis.tokens, analysis.parts), "expanded").join(bundles, "part_id")
+        more = written(R.expanded(chosen, analysis.tokens, analysis.parts, C.term_table(analysis.keys)), "expanded").join(bundles, "part_id")
         order = F.struct("part_index", F.lit(1).alias("late"), F.lit(0).alias("ordinal"), F.col("start"), F.col("end"))
         chosen = chosen.unionByName(more.select("bundle_id", "part_id", order.alias("ordinal"), "start", "end", "surface", "category", "confidence", "votes"))
-    fixed = analysis.keys.where("mask is not null and not cs").select(F.col("key").alias("ci"), "canonical", "mask").dropDuplicates(["ci"]) if analysis.keys is not None else None
-    mapping = written(R.numbered(chosen, fixed), "mapping")
+    mapping = written(R.numbered(chosen, C.term_table(analysis.keys), known), "mapping")
     parts = analysis.parts.join(bundles.select("bundle_id", "part_id"), "part_id")
     return R.apply_mapping(parts, mapping), mapping
 
@@ -98,8 +96,7 @@ def apply_selection(analysis: Analysis, bundles: DataFrame, spans: DataFrame) ->
     c = analysis.candidates.join(spans.select("part_id", "start", "end").distinct(), ["part_id", "start", "end"], "left_semi").join(bundles, "part_id")
     order = F.struct("part_index", F.lit(0).alias("late"), F.lit(0).alias("ordinal"), F.col("start"), F.col("end"))
     chosen = c.select("bundle_id", "part_id", order.alias("ordinal"), "start", "end", "surface", "category", "confidence", "votes")
-    fixed = analysis.keys.where("mask is not null and not cs").select(F.col("key").alias("ci"), "canonical", "mask").dropDuplicates(["ci"]) if analysis.keys is not None else None
-    mapping = written(R.numbered(chosen, fixed), "mapping")
+    mapping = written(R.numbered(chosen, C.term_table(analysis.keys)), "mapping")
     return R.apply_mapping(analysis.parts.join(bundles.select("bundle_id", "part_id"), "part_id"), mapping), mapping
 
 

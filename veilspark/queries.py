@@ -50,9 +50,8 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic votes from the shapes of tokens: a dictionary, one entity model, tags, and a language model."""
     t = _placed_rows(_parts(spark, sf_dir))
     size = _parts(spark, sf_dir).select("part_id", F.length("text").alias("size"))
-    t = t.join(size, "part_id")
     s = F.col("surface")
-    end = F.least(F.col("end") + 2, F.col("size")).cast("int")
+    end = F.col("end") + 2
     rules = [
         (s.isin(*[x[0] for x in TERMS]), "dict", F.lit("社名(辞書)"), F.col("end")),
         (s.rlike("^[A-Z][a-z]{6,}$"), "ja_ginza", F.lit("Person"), F.col("end")),
@@ -64,7 +63,7 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     made = F.array(*[F.when(c, F.struct(F.lit(ch).alias("channel"), label.alias("label"), e.alias("to"))) for c, ch, label, e in rules])
     v = t.select("part_id", "start", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("v"))
-    return v.select("part_id", F.lit(0).alias("seq"), "start", F.col("v.to").alias("end"), S.vote_category(F.col("v.channel"), F.col("v.label")).alias("category"), "v.channel", "v.label")
+    return v.select("part_id", F.lit(0).alias("seq"), "start", F.col("v.to").alias("to"), S.vote_category(F.col("v.channel"), F.col("v.label")).alias("category"), "v.channel", "v.label").join(size, "part_id").withColumn("end", F.least("to", "size").cast("int")).drop("to", "size")
 
 
 _VOTES_SQL = """
@@ -283,22 +282,22 @@ SELECT part_id, start, fin AS "end", CASE w WHEN 'eriners' THEN 'Eriner' ELSE up
 WHERE w IN ('eriner', 'eriners', 'ofonrereer', 'license', 'retionly', 'ertionha') AND NOT regexp_matches(CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END, '[a-zA-Z0-9_-]') AND NOT regexp_matches(substr(text, fin + 1, 1), '[a-zA-Z0-9_-]')""",
 )
 def dictionary_hits(spark, sf_dir):
-    toks = channels.tokens(_parts(spark, sf_dir))
-    return channels.dictionary_hits(toks, channels.terms(_entries(spark))).select("part_id", "start", "end", "canonical")
+    parts = _parts(spark, sf_dir)
+    return channels.dictionary_hits(parts, channels.terms(_entries(spark))).select("part_id", "start", "end", "canonical")
 
 
 @query("case_sensitive_hits", f"""WITH {_TOK_SQL} SELECT part_id, start, start + length(surface) AS "end", surface AS canonical FROM tok WHERE surface IN ('Eriner', 'License', 'The') AND {_FREE}""")
 def case_sensitive_hits(spark, sf_dir):
-    toks = channels.tokens(_parts(spark, sf_dir))
+    parts = _parts(spark, sf_dir)
     keys = channels.terms(_entries(spark, [(c, "社名", [], None) for c in CASED], cs=True))
-    return channels.dictionary_hits(toks, keys).select("part_id", "start", "end", "canonical")
+    return channels.dictionary_hits(parts, keys).select("part_id", "start", "end", "canonical")
 
 
 @query("partial_hits")
 def partial_hits(spark, sf_dir):
-    toks = channels.tokens(_parts(spark, sf_dir))
+    parts = _parts(spark, sf_dir)
     keys = channels.terms(_entries(spark, [(c, "商標", [], None) for c in PARTIAL], partial=True))
-    return channels.partial_hits(toks, keys).select("part_id", "start", "end", "canonical")
+    return channels.partial_hits(parts, keys).select("part_id", "start", "end", "canonical")
 
 
 @query("embedded_terms")
@@ -319,7 +318,7 @@ def cluster_spans(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return written(consensus.merged(consensus.clusters(_votes(spark, sf_dir)), _parts(spark, sf_dir)), "candidates")
+    return written(consensus.merged(_votes(spark, sf_dir), _parts(spark, sf_dir)), "candidates")
 
 
 _OUT = 'part_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", surface, category, confidence'
