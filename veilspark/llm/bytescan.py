@@ -41,6 +41,10 @@ class Buffer:
         padded = np.concatenate((flat, np.zeros(8, dtype=np.uint8)))
         self._words = np.ndarray((len(flat) + 1,), dtype=_WORD, buffer=padded, strides=(1,))
 
+    def grams(self, n: int) -> np.ndarray:
+        """Hashes of the ``n`` bytes, eight at most, from each place on that has so many."""
+        return mix64((self._words[: max(0, len(self.flat) - n + 1)] & _FIRST[n]) + U64(0x9E3779B97F4A7C15))
+
     def hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         start, size = np.asarray(start, dtype=np.int64), np.asarray(end - start, dtype=np.int64)
         out = mix64(size.astype(U64) * U64(0xA24BAED4963EE407) + U64((seed * 0x9FB21C651E98DF25 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RID = "_veil_rid"
+#: Rows of a narrow table that are sent to all executors at most; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
+SALTS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,19 +62,25 @@ def sent(small: DataFrame, label: str, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def hot_join(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
-    """``rows`` left-joined with ``answers`` (one row a key, both written), whose column ``rows`` tells how many rows ask.
+def hot_join(rows: DataFrame, answers: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``answers`` (one row a key, written), whose column ``rows`` tells how many rows ask.
 
-    Keys that more than a hundred-thousandth of all rows have, a thousand at least, are at most a hundred thousand;
-    their answers are sent to all executors, so that no task gets all rows of a hot key. The others meet by a shuffle.
+    Up to BROADCAST_ROWS answers are sent to all executors. Beyond that they meet the rows by a shuffle, where the rows
+    of hot keys (a hundred-thousandth of all rows or more, so a hundred thousand keys at most) are dealt to SALTS
+    tasks by their other columns and these keys' answers go to each.
     """
-    value = [c for c in answers.columns if c not in (key, "rows")]
-    most = max(1000, (answers.agg(F.sum("rows")).first()[0] or 0) // 100_000)
-    hot = F.broadcast(answers.where(F.col("rows") > most).select(key, *value))
-    light = answers.where(F.col("rows") <= most).select(key, *value)
-    near = rows.join(hot, key)
-    far = rows.join(hot.select(key), key, "left_anti").join(light, key, "left")
-    return near.unionByName(far)
+    key = [key] if isinstance(key, str) else key
+    value = [c for c in answers.columns if c not in (*key, "rows")]
+    n, total = answers.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(answers.select(*key, *value)), key, how)
+    most = max(1000, total // 100_000)
+    hot = F.broadcast(answers.where(F.col("rows") > most).select(*key, F.lit(True).alias("_hot")))
+    other = [c for c in rows.columns if c not in key]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*other), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("rows") > most, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return dealt.join(answers.select(*key, *value, F.explode(every).alias("_salt")), [*key, "_salt"], how).drop("_salt")
 
 
 def keyed(docs: DataFrame, *columns: str, id_column: str = "doc_id") -> DataFrame:

@@ -5,21 +5,26 @@ suffixes which can be equal over LENGTH bytes meet, and only these:
 
 1. A text's possible starts are dealt to content-chosen anchors (the least 8-byte hash among the next
    LENGTH - KEY + 1 positions). Starts in a row that have the same anchor form a segment; equal strings have equal
-   bytes from the anchor on, KEY at least, so the hash of these is a key under which they meet.
-2. A segment with the bytes its strings reach is its stretch. Equal stretches are counted, first in each task; a
-   stretch that occurs twice is repeated throughout. A key with one stretch that occurs once is done.
-3. Where a key has several stretches, they go to one task by key. Its shards (some stretches each) sort their
-   suffixes, and their transforms are merged: the interleave of all shards is refined letter by letter, by a stable
-   distribution on the letters before the suffixes (the transform's column). Blocks of equal prefixes only ever
-   split, and the step that splits two neighbours is their common prefix length, so no suffix is compared or sorted
-   again. Letters are two bytes. Only suffixes that lead back to a start matter, so step i handles those that lie
-   LENGTH - 2 i bytes behind one, and a block of one suffix leaves the interleave. After LENGTH bytes the blocks of
-   two or more are the repeated intervals.
-4. A key of more than MAX_FAMILY different stretches would be too much for one task. Its strings are counted by
-   a 128-bit hash of each instead, with map-side combination.
+   bytes from the anchor on, KEY at least, so the hash of these is a key under which they meet. Keys of one segment
+   are done; they are found by counts that tasks combine before anything is shuffled.
+2. A segment with the bytes its strings reach is its stretch. Equal stretches (by a 128-bit hash) are one from then on,
+   with a count; one of each is fetched.
+3. The stretches of a key go to one task. Its shards (some stretches each) build their transforms: the letters before
+   the suffixes, in the suffixes' order, letters being two bytes. Only suffixes that lead back to a start matter, so
+   column i is that of the suffixes LENGTH - 2 i bytes behind one. The transforms are merged: the interleave of all
+   shards is refined column by column, by a stable distribution on the letters that it brings together. It
+   holds shards only; the n-th place of a shard is that shard's n-th suffix, so no suffix is compared or sorted again.
+   Blocks of equal prefixes only ever split. Common prefix lengths follow from those of the step before: two
+   neighbours of one letter have two bytes more than the least between the places they came from. Where LENGTH bytes
+   are common lie the repeated intervals; a stretch that counts twice is repeated throughout.
+4. A key of more than MAX_FAMILY different stretches is split by its next bytes: its starts are dealt by their distance to
+   the anchor to ranges of half the width, in which equal strings have more bytes in common, whose hash is the finer key.
+   Ranges of one start have whole strings for keys, so this ends.
+5. Each segment whose stretch has repeated intervals gets them at its place.
 
 Texts are UTF-8 bytes, null counts as empty, a text shorter than LENGTH keeps all bytes. Repeated rows are repeats
-of each other. An empty table gives an empty result; other columns do not matter.
+of each other. A very long text is one piece, about 100 bytes of memory a byte. An empty table gives an empty result;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -32,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64, sliding_argmin
-from veilspark.llm.common import RID, forget, keyed, pieces, release, string_bytes, written
+from veilspark.llm.common import RID, forget, hot_join, keyed, pieces, release, string_bytes, written
 
 LENGTH = 200
 KEY = 51
 GRAM = 8
-MAX_FAMILY = 20_000
-#: Suffixes that one merge holds (about 60 bytes each), unless one key has more.
-MERGE_STARTS = 1 << 20
-SHARD_STRINGS = 1024
+MAX_FAMILY = 2_000
+#: Suffixes that one merge holds (about 300 bytes each), unless one key has more.
+MERGE_STARTS = 1 << 18
+SHARD_STRINGS = 512
 #: Spans that are broadcast at most, to cut the texts; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 PIECE = 1 << 20
@@ -48,14 +53,15 @@ SPANS = "_veil_spans"
 
 
 def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: int = KEY):
-    """Segments of all texts: text, first start in the text, number of starts, key, and hash of the stretch."""
+    """Segments of all texts: text, first start in the text, number of starts, distance to the anchor, key, and places.
+
+    ``places`` are the buffer, and first byte and end of the stretch in it.
+    """
     none = np.zeros(0, np.int64)
-    if len(flat) < length:
-        return none, none, none, none.view(U64), none.view(U64)
-    width = length - key + 1
     buf = Buffer(flat)
-    at = np.arange(len(flat) - GRAM + 1)
-    anchor = sliding_argmin(buf.hash(at, at + GRAM), width)
+    if len(flat) < length:
+        return none, none, none, none, none.view(U64), (buf, none, none)
+    anchor = sliding_argmin(buf.grams(GRAM), length - key + 1)
     ok = np.zeros(len(flat) + 1, dtype=np.int32)
     size = np.diff(offsets)
     able = size >= length
@@ -70,107 +76,98 @@ def segments(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: i
     stops = np.append(stops, len(ok))
     many = stops[np.searchsorted(stops, starts, "right")] - starts
     text = np.searchsorted(offsets, starts, "right") - 1
-    return text, starts - offsets[text], many, buf.hash(anchor[starts], anchor[starts] + key), buf.hash(starts, starts + many - 1 + length)
+    return text, starts - offsets[text], many, anchor[starts] - starts, buf.hash(anchor[starts], anchor[starts] + key), (buf, starts, starts + many - 1 + length)
+
+
+def stretch_ids(places) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each stretch."""
+    buf, start, end = places
+    return buf.hash(start, end), buf.hash(start, end, 1)
 
 
 class Shard:
-    """Some strings and their suffixes in the order of their first eight bytes, with the letters before them.
+    """The transform of some strings: the letters before their suffixes, a column for each depth, in the suffixes' order.
 
-    Of each string the ``many`` suffixes count that lie LENGTH - 8 bytes behind a start.
+    Column i is that of the suffixes that lie ``length`` - 2 i bytes behind one of the ``many`` first starts of each
+    string, ordered by their first 2 i bytes. ``start`` holds the starts ordered by ``length`` bytes.
     """
 
-    def __init__(self, flat: np.ndarray, offsets: np.ndarray, many: np.ndarray, length: int):
+    def __init__(self, flat: np.ndarray, pairs: np.ndarray, offsets: np.ndarray, many: np.ndarray, length: int):
         start = np.repeat(offsets[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        self.first = eight_bytes(flat, start + length - 8)
-        order = np.argsort(self.first, kind="stable")
-        self.first, self.start = self.first[order], start[order]
-
-
-def eight_bytes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(at), dtype=U64)
-    for k in range(8):
-        out = out << U64(8) | flat[at + k].astype(U64)
-    return out
+        self.columns = []
+        for depth in range(0, length, 2):
+            letter = pairs[start + (length - depth - 2)] if length - depth > 1 else flat[start].astype(np.uint16)
+            self.columns.append(letter)
+            start = start[np.argsort(letter, kind="stable")]
+        self.start = start
+
+
+class _Least:
+    """Least values between places of an array, any two at once."""
+
+    def __init__(self, values: np.ndarray):
+        self.rows = [values]
+        while 2 << len(self.rows) - 1 <= len(values):
+            half = 1 << len(self.rows) - 1
+            self.rows.append(np.minimum(self.rows[-1][:-half], self.rows[-1][half:]))
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least value of each [lo, hi)."""
+        level = np.log2(hi - lo).astype(np.int64)
+        out = np.empty(len(lo), dtype=self.rows[0].dtype)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.rows[k][lo[at]], self.rows[k][hi[at] - (1 << int(k))])
+        return out
 
 
-def merge(flat: np.ndarray, shards: list[Shard], length: int = LENGTH, drop_unique: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Refine the interleave of ``shards`` to ``length`` bytes.
+def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the transforms of ``shards`` by refining their interleave to ``length`` bytes.
 
-    Returns the starts in order, whether each begins a block of equal strings, and the common prefix length of each
-    with the one before (``length`` where equal; 0 at the first). With ``drop_unique`` starts without an equal leave
-    early.
+    Returns all starts in order and the common prefix length of each with the one before (0 at the first).
     """
-    first = np.concatenate([s.first for s in shards])
-    start = np.concatenate([s.start for s in shards])
-    order = np.argsort(first, kind="stable")  # the shards' orders are runs: this merges them
-    first, start = first[order], start[order]
-    fresh = np.ones(len(start), dtype=bool)
-    fresh[1:] = first[1:] != first[:-1]
-    common = np.zeros(len(start), dtype=np.int32)
-    if len(start) > 1:
-        differ = first[1:] ^ first[:-1]
-        top = np.zeros(len(differ), dtype=np.int32)
-        for k in range(8):
-            top += (differ >> U64(8 * k)) > 0
-        common[1:] = np.where(fresh[1:], 8 - top, length)
-    pairs = flat[:-1].astype(np.uint16) << 8 | flat[1:]
-    depth = 8
-    while depth < length:
-        if drop_unique and len(start):
-            alone = fresh.copy()
-            alone[:-1] &= fresh[1:]
-            if alone.any():
-                kept = ~alone
-                start, fresh, common = start[kept], fresh[kept], common[kept]
-        if not len(start):
-            break
-        step = min(2, length - depth)
-        behind = start + (length - depth - step)
-        letter = pairs[behind] if step == 2 else flat[behind].astype(np.uint16)
-        block = np.cumsum(fresh, dtype=np.int32)
+    sizes = [len(s.start) for s in shards]
+    turn = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), sizes)
+    n = len(turn)
+    fresh = np.zeros(n, dtype=bool)
+    fresh[:1] = True
+    common = np.zeros(n, dtype=np.int16)  # at the first place of a block: bytes shared with the place before
+    for step, columns in enumerate(zip(*(s.columns for s in shards))):
+        width = min(2, length - 2 * step)
+        letter = np.empty(n, dtype=np.uint16)
+        letter[np.argsort(turn, kind="stable")] = np.concatenate(columns)
+        block = np.cumsum(fresh, dtype=np.int32) - 1
+        heads = common[fresh]
         order = np.argsort(letter, kind="stable")
-        letter, old, start = letter[order], block[order], start[order]
-        fresh = np.ones(len(start), dtype=bool)
-        same = letter[1:] == letter[:-1]
-        fresh[1:] = ~same | (old[1:] != old[:-1])
-        if not drop_unique:
-            common = _shifted(common, block, old, letter, same, step, length)
-        depth += step
-    if drop_unique:
-        common = np.where(fresh, 0, length)
-    return start, fresh, common
-
-
-def _shifted(common: np.ndarray, block: np.ndarray, old: np.ndarray, letter: np.ndarray, same: np.ndarray, step: int, length: int) -> np.ndarray:
-    """Common prefix lengths one step on: letters first, then the least length between the two blocks before it."""
-    heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    by_block = common[heads]
-    out = np.zeros(len(letter), dtype=np.int32)
-    for i in range(1, len(letter)):
-        if not same[i - 1]:
-            out[i] = step == 2 and (letter[i] >> 8) == (letter[i - 1] >> 8)
-        elif old[i] == old[i - 1]:
-            out[i] = length
-        else:
-            out[i] = min(length, step + by_block[old[i - 1] : old[i]].min())
-    return out
+        turn, letter, block = turn[order], letter[order], block[order]
+        other = letter[1:] != letter[:-1]
+        fresh = np.ones(n, dtype=bool)
+        fresh[1:] = other | (block[1:] != block[:-1])
+        common = np.zeros(n, dtype=np.int16)
+        if width == 2:
+            common[1:][other] = (letter[1:][other] >> 8) == (letter[:-1][other] >> 8)
+        near = np.flatnonzero(fresh[1:] & ~other) + 1
+        if len(near):
+            common[near] = width + _Least(heads).between(block[near - 1] + 1, block[near] + 1)
+    common[~fresh] = length
+    start = np.empty(n, dtype=np.int64)
+    start[np.argsort(turn, kind="stable")] = np.concatenate([s.start for s in shards]) if shards else []
+    return start, common
 
 
 def repeated_starts(strings: list[bytes], many: np.ndarray, length: int = LENGTH, shard_strings: int = SHARD_STRINGS) -> np.ndarray:
     """For the first ``many`` starts of each string, laid end to end: whether the string there has an equal."""
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
-    flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    shards = []
-    for k in range(0, len(strings), shard_strings):
-        cut = offsets[k : k + shard_strings + 1]
-        shards.append(Shard(flat, cut, many[k : k + len(cut) - 1], length))
     out = np.zeros(int(many.sum()), dtype=bool)
-    if not shards:
+    if not len(out):
         return out
-    start, fresh, _ = merge(flat, shards, length)
-    alone = fresh.copy()
-    alone[:-1] &= fresh[1:]
-    hit = start[~alone]
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+    flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    pairs = flat[:-1].astype(np.uint16) << 8 | flat[1:]
+    cuts = range(0, len(strings), shard_strings)
+    start, common = merge([Shard(flat, pairs, offsets[k : k + shard_strings + 1], many[k : k + shard_strings], length) for k in cuts], length)
+    equal = common >= length  # repeated intervals: places that share all bytes with the one before
+    equal[:-1] |= equal[1:]
+    hit = start[equal]
     text = np.searchsorted(offsets, hit, "right") - 1
     out[(np.cumsum(many) - many)[text] + hit - offsets[text]] = True
     return out
@@ -181,86 +178,81 @@ def _each_piece(batches, column: str):
         yield from pieces(batch, column, PIECE)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(key, stretch, n): stretches counted within each piece of a task's texts."""
+def _busy_keys(docs: DataFrame) -> DataFrame:
+    """(key, rows): keys of two segments or more, counted within each piece of a task's texts first."""
 
     def run(batches):
         forget()
         for piece in _each_piece(batches, "text"):
-            _, _, _, key, stretch = segments(*string_bytes(piece.column(0)))
-            order = np.lexsort((key, stretch))
-            key, stretch = key[order], stretch[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (stretch[1:] != stretch[:-1]) | (key[1:] != key[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(key)))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(stretch[at].view(np.int64)), pa.array(n)], names=["key", "stretch", "n"])
-
-    return docs.select("text").mapInArrow(run, "key bigint, stretch bigint, n bigint")
-
-
-#: States of a stretch: repeated throughout; to be merged; repeated and a partner for others; of a key too large.
-FULL, OPEN, PARTNER, LARGE = 1, 2, 3, 4
+            key, n = np.unique(segments(*string_bytes(piece.column(0)))[4], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("rows")).where("rows > 1")
 
-def _states(counted: DataFrame, max_family: int) -> DataFrame:
-    from pyspark.sql import Window
 
-    each = counted.repartition("key").groupBy("key", "stretch").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("key")
-    seen = each.withColumn("family", F.count(F.lit(1)).over(w)).where("n > 1 or family > 1")
-    state = F.when(F.col("family") == 1, FULL).when(F.col("family") > max_family, LARGE).when(F.col("n") > 1, PARTNER).otherwise(OPEN)
-    return seen.select("key", "stretch", state.alias("state"))
-
-
-def _marks(docs: DataFrame, states: DataFrame) -> DataFrame:
-    """Each segment whose stretch has a state: RID, first start, number of starts, key, stretch, state."""
+def _marks(docs: DataFrame, busy: DataFrame) -> DataFrame:
+    """Each segment of a busy key: key, the two hashes of its stretch, RID, first start, number of starts, anchor."""
 
     def run(batches):
         forget()
         for piece in _each_piece(batches, "text"):
-            text, start, many, _, stretch = segments(*string_bytes(piece.column(1)))
+            text, start, many, anchor, key, places = segments(*string_bytes(piece.column(1)))
+            one, two = stretch_ids(places)
             rid = piece.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(stretch.view(np.int64)), pa.array(rid[text]), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int16))], names=["stretch", RID, "at", "many"])
+            columns = [pa.array(x.view(np.int64)) for x in (key, one, two)] + [pa.array(rid[text]), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int16)), pa.array(anchor.astype(np.int16))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*STRETCH, RID, "at", "many", "anchor"])
+
+    found = docs.select(RID, "text").mapInArrow(run, f"key bigint, one bigint, two bigint, {RID} bigint, at int, many smallint, anchor smallint")
+    return hot_join(found, busy, "key", "inner")
+
 
-    found = docs.select(RID, "text").mapInArrow(run, f"stretch bigint, {RID} bigint, at int, many smallint")
-    return found.join(states, "stretch")
+STRETCH = ["key", "one", "two"]
 
 
-def _stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The bytes of the segments ``asked``: key, RID, at, many, open, bytes."""
-    grouped = written(asked.groupBy(RID).agg(F.collect_list(F.struct("key", "at", "many", "open")).alias("asked")), "asked")
+def _stretches(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Each different stretch once: key, its hashes, how often it occurs (``rows``), many, anchor, bytes."""
+    each = marks.groupBy(*STRETCH).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(RID, "at", "many", "anchor")).alias("x"))
+    asked = each.groupBy(F.col(f"x.{RID}").alias(RID)).agg(F.collect_list(F.struct(*STRETCH, "rows", "x.many", "x.anchor", "x.at")).alias("asked"))
+    asked = written(asked, "asked")
 
     def run(batches):
         forget()
+        names = [*STRETCH, "rows", "many", "anchor"]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for rid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            out: list[list] = [[] for _ in range(7)]
+            for text, wanted in zip(batch.column(0), batch.column(1)):
                 raw = text.as_py().encode("utf-8")
                 for x in wanted.as_py():
-                    for column, value in zip(out, (x["key"], rid, x["at"], x["many"], x["open"], raw[x["at"] : x["at"] + x["many"] - 1 + LENGTH])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.bool_(), pa.binary()))], names=["key", RID, "at", "many", "open", "bytes"])
+                    for column, name in zip(out, names):
+                        column.append(x[name])
+                    out[6].append(raw[x["at"] : x["at"] + x["many"] - 1 + LENGTH])
+            types = (*[pa.int64()] * 4, pa.int16(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*names, "bytes"])
+
+    return docs.select(RID, "text").join(asked, RID).select("text", "asked").mapInArrow(run, _STRETCH_ROWS)
 
-    return docs.select(RID, "text").join(grouped, RID).select(RID, "text", "asked").mapInArrow(run, f"key bigint, {RID} bigint, at int, many smallint, open boolean, bytes binary")
+
+_STRETCH_ROWS = "key bigint, one bigint, two bigint, rows bigint, many smallint, anchor smallint, bytes binary"
+_SPANS = "array<struct<lo:int,hi:int>>"
 
 
 def _merged(stretches: DataFrame) -> DataFrame:
-    """Spans (RID, lo, hi) of bytes that merges find repeated. Rows must lie together by key and in its order."""
+    """(key, one, two, spans): the byte ranges of each stretch that merges find repeated."""
 
     def answer(rows):
-        key, rid, at, many, is_open, raw = (np.array([r[k] for r in rows], dtype=np.int64) if k < 5 else [r[k] for r in rows] for k in range(6))
-        hit = repeated_starts(raw, many)
-        bounds = np.cumsum(many) - many
+        many = np.array([r[4] for r in rows], dtype=np.int64)
+        hit = repeated_starts([r[6] for r in rows], many)
+        first = np.cumsum(many) - many
+        hit |= np.repeat(np.array([r[3] for r in rows]) > 1, many)
         gap = np.zeros(len(hit) + 1, dtype=bool)
-        gap[bounds] = True
-        begin = hit & (gap[:-1] | ~np.concatenate(([False], hit[:-1])))
-        lo = np.flatnonzero(begin)
-        end = np.flatnonzero(hit & (gap[1:] | ~np.concatenate((hit[1:], [False]))))
-        text = np.searchsorted(bounds, lo, "right") - 1
-        keep = is_open[text] > 0
-        lo_at, hi_at = at[text] + lo - bounds[text], at[text] + end - bounds[text] + LENGTH
-        return pa.RecordBatch.from_arrays([pa.array(rid[text][keep]), pa.array(lo_at[keep]), pa.array(hi_at[keep])], names=[RID, "lo", "hi"])
+        gap[first] = True
+        lo = np.flatnonzero(hit & (gap[:-1] | ~np.concatenate(([False], hit[:-1]))))
+        end = np.flatnonzero(hit & (np.append(gap[1:-1], True) | ~np.concatenate((hit[1:], [False]))))
+        of = np.searchsorted(first, lo, "right") - 1
+        who, cut = np.unique(of, return_index=True)
+        spans = pa.StructArray.from_arrays([pa.array((lo - first[of]).astype(np.int32)), pa.array((end - first[of] + LENGTH).astype(np.int32))], names=["lo", "hi"])
+        listed = pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)).astype(np.int32)), spans)
+        return pa.RecordBatch.from_arrays([*(pa.array([rows[i][k] for i in who], pa.int64()) for k in range(3)), listed], names=[*STRETCH, "spans"])
 
     def run(batches):
         forget()
@@ -272,64 +264,73 @@ def _merged(stretches: DataFrame) -> DataFrame:
                     yield answer(rows)
                     rows, starts = [], 0
                 rows.append(row)
-                starts += row[3]
+                starts += row[4]
         if rows:
             yield answer(rows)
 
     dealt = stretches.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"{RID} bigint, lo bigint, hi bigint")
+    return dealt.mapInArrow(run, f"key bigint, one bigint, two bigint, spans {_SPANS}")
 
 
-def _counted_strings(stretches: DataFrame) -> DataFrame:
-    """Spans of repeated strings among the stretches of keys that are too large to merge, by counting hashes."""
+def _finer(stretches: DataFrame, width: int) -> DataFrame:
+    """Stretches cut by ranges of ``width`` distances to the anchor, with the parent's key and hashes and their place in it."""
 
     def run(batches):
         forget()
         for batch in batches:
-            for k in range(batch.num_rows):
-                rid, at, many, raw = (batch.column(c)[k].as_py() for c in (1, 2, 3, 5))
+            out: list[list] = [[] for _ in range(11)]
+            for key, one, two, rows, many, anchor, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 buf = Buffer(np.frombuffer(raw, dtype=np.uint8))
-                start = np.arange(many)
-                one, two = buf.hash(start, start + LENGTH), mix64(buf.hash(start, start + LENGTH // 2) ^ U64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(many, rid)), pa.array(start + at)], names=["one", "two", RID, "lo"])
+                far, near = anchor, anchor - many + 1  # distances of the first and the last start
+                ranges = np.arange(near // width, far // width + 1)
+                least, most = np.maximum(ranges * width, near), np.minimum(ranges * width + width - 1, far)
+                start, end = anchor - most, anchor - least + LENGTH
+                # bytes that all strings of the whole range have, also where this stretch has some of its distances only
+                low, high = anchor - ranges * width, anchor - ranges * width - width + 1 + LENGTH
+                context = mix64(buf.hash(low, high) ^ mix64(ranges.astype(U64) + U64(width << 20)))
+                for k, (x, y) in enumerate(zip(start, end)):
+                    values = (key, one, two, x, *(int(v.view(np.int64)) for v in (context[k], buf.hash(start[k : k + 1], end[k : k + 1])[0], buf.hash(start[k : k + 1], end[k : k + 1], 1)[0])), rows, most[k] - least[k] + 1, most[k], raw[x:y])
+                    for column, value in zip(out, values):
+                        column.append(value)
+            types = (*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 4, pa.int16(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["up_key", "up_one", "up_two", "place", *STRETCH, "rows", "many", "anchor", "bytes"])
 
-    strings = stretches.mapInArrow(run, f"one bigint, two bigint, {RID} bigint, lo bigint")
-    twice = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    return strings.join(twice, ["one", "two"]).select(RID, "lo", (F.col("lo") + LENGTH).alias("hi"))
+    return stretches.mapInArrow(run, f"up_key bigint, up_one bigint, up_two bigint, place int, {_STRETCH_ROWS}")
+
+
+def _intervals(stretches: DataFrame, max_family: int, width: int = LENGTH - KEY + 1) -> DataFrame:
+    """(key, one, two, spans) of written stretches; keys of too many are split by their next bytes."""
+    large = stretches.groupBy("key").count().where(F.col("count") > max_family).select("key") if width > 1 else None
+    large = written(large, "large") if large is not None else None
+    if large is None or not large.limit(1).count():
+        return written(_merged(stretches), "merged")
+    few = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    out = written(_merged(stretches.join(few, "key", "left_anti")), "merged")
+    width = (width + 1) // 2
+    parts = written(_finer(stretches.join(few, "key", "left_semi"), width), "finer")
+    each = written(parts.groupBy(*STRETCH).agg(F.sum("rows").alias("rows"), F.min("many").alias("many"), F.min("anchor").alias("anchor"), F.min("bytes").alias("bytes")), "finer-stretches")
+    found = _intervals(each, max_family, width)
+    back = parts.drop("bytes").join(found, STRETCH).select(F.col("up_key").alias("key"), F.col("up_one").alias("one"), F.col("up_two").alias("two"), F.transform("spans", lambda x: F.struct((x["lo"] + F.col("place")).alias("lo"), (x["hi"] + F.col("place")).alias("hi"))).alias("spans"))
+    return out.unionByName(written(back.groupBy(*STRETCH).agg(F.flatten(F.collect_list("spans")).alias("spans")), "finer-merged"))
 
 
 def repeated_spans(docs: DataFrame, max_family: int = MAX_FAMILY) -> DataFrame:
     """Per keyed text with repeats: RID and ``spans``, all [lo, hi) found, in no order and overlapping."""
     spark = docs.sparkSession
-    states = written(_states(_counted(docs), max_family), "states")
+    busy = written(_busy_keys(docs), "busy")
     release(spark)
-    marks = written(_marks(docs, states), "marks")
+    marks = written(_marks(docs, busy).drop("rows"), "marks")
     release(spark)
-    full = marks.where(F.col("state").isin(FULL, PARTNER)).select(RID, F.col("at").cast("bigint").alias("lo"), (F.col("at") + F.col("many") - 1 + LENGTH).cast("bigint").alias("hi"))
-    partner = marks.where(F.col("state") == PARTNER).groupBy("stretch").agg(F.min(F.struct(RID, "at", "many", "key")).alias("x")).select("x.*")
-    asked = marks.where(F.col("state") == OPEN).select("key", RID, "at", "many", F.lit(True).alias("open")).unionByName(partner.select("key", RID, "at", "many", F.lit(False).alias("open")))
-    found = [full, written(_merged(_stretches(docs, asked)), "merged")]
-    large = marks.where(F.col("state") == LARGE)
-    if large.limit(1).count():
-        strings = written(_stretches(docs, large.select("key", RID, "at", "many", F.lit(True).alias("open"))), "large")
-        found.append(written(_counted_strings(strings), "counted"))
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("lo", "hi"))), F.array().cast("array<struct<lo:bigint,hi:bigint>>"), _joined)
-    out = written(spans.groupBy(RID).agg(joined.alias("spans")), "spans")
+    stretches = written(_stretches(docs, marks), "stretches")
+    found = _intervals(stretches, max_family)
+    found = written(found.join(stretches.select(*STRETCH, "rows"), STRETCH), "found")
+    here = hot_join(marks.select(*STRETCH, RID, "at"), found, STRETCH, "inner")
+    spans = here.select(RID, F.transform("spans", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi"))).alias("spans"))
+    out = written(spans.groupBy(RID).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     release(spark)
     return out
 
 
-def _joined(done, x):
-    """Append a span to sorted disjoint spans, joining it to the last where they touch."""
-    last = F.get(done, F.size(done) - 1)
-    touches = (F.size(done) > 0) & (x["lo"] <= last["hi"])
-    grown = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
-    return F.when(touches, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(x)))
-
-
 def _cut_text(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     """``raw`` without the union of ``spans``, and how many runs that union has."""
     kept, at, n = [], 0, 0
