@@ -293,20 +293,36 @@ def case_sensitive_hits(spark, sf_dir):
     return channels.dictionary_hits(parts, keys).select("part_id", "start", "end", "canonical")
 
 
-@query("partial_hits")
+@query(
+    "partial_hits",
+    """WITH pieces AS (SELECT doc_id AS part_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '([A-Z])([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+|\\x01|\\s+|[^A-Za-z0-9\\s\\x01]') AS x FROM documents),
+cut AS (SELECT part_id, unnest(x) AS surface, generate_subscripts(x, 1) AS k FROM pieces),
+atom AS (SELECT part_id, k, surface, CAST(sum(CASE WHEN surface = chr(1) THEN 0 ELSE length(surface) END) OVER (PARTITION BY part_id ORDER BY k) - length(surface) AS INT) AS start FROM cut),
+solid AS (SELECT part_id, start, surface AS a, lead(surface, 1) OVER o AS b, lead(surface, 2) OVER o AS c, lead(surface, 3) OVER o AS d, lead(start, 1) OVER o AS sb, lead(start, 2) OVER o AS sc, lead(start, 3) OVER o AS sd FROM atom WHERE surface <> chr(1) AND NOT regexp_matches(surface, '^\\s') WINDOW o AS (PARTITION BY part_id ORDER BY k)),
+runs AS (SELECT part_id, start, start + length(a) AS fin, lower(a) AS w FROM solid
+ UNION ALL SELECT part_id, start, sb + length(b), lower(a || b) FROM solid WHERE b IS NOT NULL
+ UNION ALL SELECT part_id, start, sc + length(c), lower(a || b || c) FROM solid WHERE c IS NOT NULL
+ UNION ALL SELECT part_id, start, sd + length(d), lower(a || b || c || d) FROM solid WHERE d IS NOT NULL)
+SELECT part_id, start, CAST(fin AS INT) AS "end", CASE w WHEN 'oner' THEN 'Oner' WHEN 'the' THEN 'The' ELSE w END AS canonical FROM runs WHERE w IN ('oner', 'reer', 'the')""",
+)
 def partial_hits(spark, sf_dir):
     parts = _parts(spark, sf_dir)
     keys = channels.terms(_entries(spark, [(c, "商標", [], None) for c in PARTIAL], partial=True))
     return channels.partial_hits(parts, keys).select("part_id", "start", "end", "canonical")
 
 
-@query("embedded_terms")
+_EMBEDDED_SQL = """t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS token FROM documents),
+k AS (SELECT * FROM (VALUES ('eriner', 'Eriner', '社名'), ('eriners', 'Eriner', '社名'), ('ofonrereer', 'Ofonrereer', '人名'), ('license', 'License', '商標'), ('retionly', 'Retionly', '商標'), ('ertionha', 'Ertionha', '人名')) v(key, canonical, category)),
+embedded AS (SELECT DISTINCT token, canonical, category FROM t JOIN k ON contains(lower(token), key) WHERE lower(token) NOT IN (SELECT key FROM k))"""
+
+
+@query("embedded_terms", f"WITH {_EMBEDDED_SQL} SELECT token, canonical, category FROM embedded")
 def embedded_terms(spark, sf_dir):
     toks = channels.tokens(_parts(spark, sf_dir))
     return channels.embedded_audit(toks, channels.terms(_entries(spark))).select("token", "canonical", "category")
 
 
-@query("leak_report")
+@query("leak_report", f"WITH {_EMBEDDED_SQL} SELECT category, count(*) AS tokens FROM embedded WHERE category IN ('商標', '社名') GROUP BY 1")
 def leak_report(spark, sf_dir):
     return audit.leak_counts(embedded_terms(spark, sf_dir))
 
@@ -347,7 +363,9 @@ def vote_tally(spark, sf_dir):
     return t.groupBy("category").agg(F.count(F.lit(1)).alias("candidates"), F.sum("channels").alias("channels"))
 
 
-@query("split_votes")
+@query("split_votes", f"""WITH {_CANDIDATES_SQL}, n AS (SELECT part_id, s, e, cat, count(DISTINCT channel) AS n FROM met GROUP BY 1, 2, 3, 4),
+top AS (SELECT part_id, s, e, count(*) AS kinds, arg_min(cat, [-n, list_position(['人名', '社名', '商標', '連絡先', '地名', 'その他'], cat)]) AS cat FROM n GROUP BY 1, 2, 3)
+SELECT kinds > 1 OR cat <> category AS split, count(*) AS n FROM top JOIN candidates USING (part_id, s, e) GROUP BY 1""")
 def split_votes(spark, sf_dir):
     return audit.split_votes(_candidates(spark, sf_dir)).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -365,7 +383,11 @@ def entity_groups(spark, sf_dir):
     return consensus.groups(consensus.demoted(_candidates(spark, sf_dir))).select("part_id", "key", "surface", "category", "confidence", "count")
 
 
-@query("pending_entities")
+@query("pending_entities", f"""WITH {_CANDIDATES_SQL}, g AS (SELECT *, replace(lower(regexp_replace(surface, '\\s+', '', 'g')), 'ß', 'ss') AS key, CASE confidence WHEN '確定' THEN 4 WHEN '強' THEN 3 WHEN '中' THEN 2 WHEN '弱' THEN 1 ELSE 0 END AS cr,
+list_position(['人名', '社名', '商標', '連絡先', '地名', 'その他'], category) AS kr FROM demoted),
+groups AS (SELECT part_id, key, arg_min(surface, [-cr, kr, s, e]) AS surface, arg_min(category, [-cr, kr, s, e]) AS category, arg_min(confidence, [-cr, kr, s, e]) AS confidence, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT part_id // 10 AS bundle_id, arg_min(surface, part_id) AS surface, arg_min(category, part_id) AS category, CASE arg_min(confidence, part_id) WHEN '中' THEN 'medium' ELSE 'weak' END AS confidence, CAST(sum(n) AS INT) AS occurrences
+FROM groups WHERE confidence IN ('中', '弱') GROUP BY 1, key""")
 def pending_entities(spark, sf_dir):
     g = consensus.groups(consensus.demoted(_candidates(spark, sf_dir)))
     g = g.withColumn("bundle_id", F.floor(F.col("part_id") / 10)).withColumn("part_index", F.col("part_id"))
@@ -398,39 +420,60 @@ def bundle_mapping(spark, sf_dir):
     return m.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.size("occurrences")).alias("occurrences"), F.first("decided_by").alias("decided_by"))
 
 
-@query("bundle_masked", f"""WITH {_CONV_SQL}, num AS (SELECT conv_id, surface, '[人物' || row_number() OVER (PARTITION BY conv_id ORDER BY first) || ']' AS p FROM firsts)
-SELECT conv_id AS bundle_id, turn AS part_id, string_agg(coalesce(p, surface), '' ORDER BY k) AS masked_text FROM cut LEFT JOIN num USING (conv_id, surface) GROUP BY 1, 2""")
+@query("bundle_masked", f"""WITH {_CONV_SQL}, num AS (SELECT conv_id, surface, '[人物' || row_number() OVER (PARTITION BY conv_id ORDER BY first) || ']' AS p FROM firsts),
+built AS (SELECT conv_id, turn, string_agg(coalesce(p, surface), '' ORDER BY k) AS m FROM cut LEFT JOIN num USING (conv_id, surface) GROUP BY 1, 2)
+SELECT conv_id AS bundle_id, turn AS part_id, coalesce(m, '') AS masked_text FROM conversations LEFT JOIN built USING (conv_id, turn)""")
 def bundle_masked(spark, sf_dir):
     parts, mapping = _conversation_mapping(spark, sf_dir)
     return rewrite.apply_mapping(parts, mapping).select("bundle_id", "part_id", "masked_text")
 
 
-@query("bundle_unmask", "SELECT conv_id AS bundle_id, turn AS part_id, text AS restored FROM conversations WHERE text <> ''")
+@query("bundle_unmask", "SELECT conv_id AS bundle_id, turn AS part_id, coalesce(text, '') AS restored FROM conversations")
 def bundle_unmask(spark, sf_dir):
     parts, mapping = _conversation_mapping(spark, sf_dir)
     return rewrite.unmasked(rewrite.apply_mapping(parts, mapping), mapping).select("bundle_id", "part_id", "restored")
 
 
-@query("flatten_tables", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+@query("flatten_tables", """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
 c AS (SELECT doc_id, k, line, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: x <> '') AS cells FROM l)
 SELECT doc_id, string_agg(CASE WHEN NOT contains(line, '|') THEN line WHEN len(cells) = 0 THEN '' ELSE array_to_string(cells, '、') || '。' END, chr(10) ORDER BY k) AS flat FROM c
 WHERE NOT (contains(line, '|') AND len(cells) > 0 AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-+:?$'))) = 0) GROUP BY doc_id""")
 def flatten_tables(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.flatten_tables(F.col("text")).alias("flat"))
+    return _table(spark, sf_dir, "documents").select("doc_id", P.flatten_tables(F.coalesce("text", F.lit(""))).alias("flat"))
+
 
+#: White space as the engine sees it, where the SQL's own class is of ASCII only.
+_SOLID = "[^\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_OPENS, _CLOSES = "([(\\[{（［｛〔【])", "([)\\]}）］｝〕】])"
 
-@query("bracket_pad", "SELECT doc_id, regexp_replace(regexp_replace(text, '(\\S)([(\\[{])', '\\1 \\2', 'g'), '([)\\]}])(\\S)', '\\1 \\2', 'g') AS padded FROM documents WHERE regexp_matches(text, '[()\\[\\]{}]') AND NOT regexp_matches(text, '[()\\[\\]{}][()\\[\\]{}]')")
+
+def _padded_sql(text: str) -> str:
+    out = f"regexp_replace({text}, '{_CLOSES}{_OPENS}', '\\1  \\2', 'g')"
+    for _ in range(2):  # a bracket that a first match took ends the next pair
+        out = f"regexp_replace(regexp_replace({out}, '({_SOLID}){_OPENS}', '\\1 \\2', 'g'), '{_CLOSES}({_SOLID})', '\\1 \\2', 'g')"
+    return out
+
+
+@query("bracket_pad", f"SELECT doc_id, {_padded_sql('text')} AS padded FROM documents")
 def bracket_pad(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[()\[\]{}]"))
-    return d.select("doc_id", P.pad_brackets(F.col("text")).alias("padded"))
+    return _table(spark, sf_dir, "documents").select("doc_id", P.pad_brackets(F.col("text")).alias("padded"))
 
 
-@query("pdf_clean")
+@query("pdf_clean", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+j AS (SELECT doc_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: l[i] || CASE WHEN i = len(l) THEN '' WHEN (l[i + 1] <> '' OR i + 1 = len(l)) AND NOT regexp_matches(l[i], '[。！？.!?]$') THEN ' ' ELSE chr(10) END), '') AS t FROM l),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\n{2,}', chr(10) || chr(10), 'g'), '\\n([•\\-–])\\s*', chr(10) || '\\1 ', 'g'), '\\n(\\d+(?:\\.\\d+)*\\.)\\s*', chr(10) || '\\1 ', 'g') AS t FROM j)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS clean_sha256 FROM b""")
 def pdf_clean(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(P.clean_pdf(F.col("text")), 256).alias("clean_sha256"))
 
 
-@query("segment_windows")
+@query("segment_windows", """WITH RECURSIVE l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS x FROM documents)),
+placed AS (SELECT doc_id, line, k, CAST(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 2 AS BIGINT) AS start FROM l),
+seg AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, start, start + length(line) AS fin, length(line) AS tok, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM placed WHERE NOT regexp_matches(line, '^\\s*$')),
+r AS (SELECT doc_id, i, i AS a, tok AS cur FROM seg WHERE i = 0 UNION ALL SELECT s.doc_id, s.i, CASE WHEN r.cur + s.tok <= 2000 THEN r.a ELSE s.i END, CASE WHEN r.cur + s.tok <= 2000 THEN r.cur + s.tok ELSE s.tok END FROM r JOIN seg s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+g AS (SELECT doc_id, a, max(i) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS k FROM r GROUP BY doc_id, a),
+f AS (SELECT g.doc_id, g.a, b, g.k, coalesce(max(j.i) FILTER (h.upto - h.tok - (j.upto - j.tok) >= 200), 0) AS back FROM g JOIN seg h ON h.doc_id = g.doc_id AND h.i = g.a LEFT JOIN seg j ON j.doc_id = g.doc_id AND j.i < g.a GROUP BY 1, 2, 3, 4)
+SELECT f.doc_id, CAST(k AS INT) AS k, CAST(x.start AS INT) AS start, CAST(y.fin AS INT) AS "end" FROM f JOIN seg x ON x.doc_id = f.doc_id AND x.i = CASE WHEN k = 0 THEN a ELSE back END JOIN seg y ON y.doc_id = f.doc_id AND y.i = b""")
 def segment_windows(spark, sf_dir):
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     d = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.windows(text, 2000, 200)).alias("k", "w"))
@@ -528,15 +571,8 @@ def previews(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", S.preview(F.col("text")).alias("preview"))
 
 
-@query("subword_counts", "WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\\x09-\\x0d ]+')) AS s FROM documents) SELECT s AS surface, len(regexp_extract_all(s, '[A-Z]?[a-z]+|[0-9]+|[A-Z]+')) AS parts FROM w WHERE s <> '' AND NOT regexp_matches(s, '[A-Z][A-Z]')")
+@query("subword_counts", "WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\\x09-\\x0d ]+')) AS s FROM documents) SELECT s AS surface, len(regexp_extract_all(regexp_replace(s, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[0-9]+|[A-Z]+')) AS parts FROM w WHERE s <> ''")
 def subword_counts(spark, sf_dir):
-    w = _words(spark, sf_dir).where(~F.col("surface").rlike("[A-Z][A-Z]"))
-    return w.select("surface", F.size(S.subwords(F.col("surface"))).cast("bigint").alias("parts"))
-
-
-@query("subword_counts_all")
-def subword_counts_all(spark, sf_dir):
-    """Of all words: also of those with capitals in a row, which the SQL of subword_counts cannot cut."""
     return _words(spark, sf_dir).select("surface", F.size(S.subwords(F.col("surface"))).cast("bigint").alias("parts"))
 
 
