@@ -1,4 +1,4 @@
-"""Loaders: binary files to documents, by extension; text and HTML here, other formats through registered loaders."""
+"""Loaders: binary files to documents, by extension; text and HTML here, office files by their readers, other formats through registered loaders."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.office import read_docx, read_pptx, read_xlsx
+
 DOCUMENT = "file_path string, file_name string, file_type string, ordinal int, text string"
 #: Encodings in the order they are tried.
 ENCODINGS = ["utf-8", "cp932", "euc-jp", "utf-16"]
@@ -59,13 +62,18 @@ def _html(raw: bytes) -> list[str]:
 
 
 #: Extension to loader: bytes to the texts of its pages, sheets or sections.
-LOADERS: dict[str, Callable[[bytes], list[str]]] = {"txt": _plain, "md": _plain, "html": _html, "htm": _html, "xml": _html}
+LOADERS: dict[str, Callable[[bytes], list[str]]] = {"txt": _plain, "md": _plain, "html": _html, "htm": _html, "xml": _html, "docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx}
 
 
 def load(spark: SparkSession, path: str, loaders: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
-    """Documents of all files under ``path``. An extension without a loader is an error; all text is NFKC."""
+    """Documents of all files under ``path``. An extension without a loader is an error, as is a path without files; all text is NFKC."""
     known = LOADERS | {k.lower().lstrip("."): f for k, f in (loaders or {}).items()}
-    files = spark.read.format("binaryFile").load(path)
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
 
     def run(batches):
