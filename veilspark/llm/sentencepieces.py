@@ -47,19 +47,27 @@ def load_vocabulary(model_file: str) -> dict:
     normal = set(ids) - set(out["special"]) - set(out["bytes"].values())
     if any(MARK in pieces[i].lstrip(MARK) for i in normal):
         raise ValueError("a piece holds a space mark after another character: units would not be independent")
+    if any("\n" in pieces[i] and len(pieces[i]) > 1 for i in normal):
+        raise ValueError("a piece holds a line end beside other characters: units would not be independent")
     if len(out["bytes"]) != 256:
         raise ValueError("the model has no byte fallback")
     return out
 
 
+#: Characters of the longest unit that is remembered.
+UNIT_KEPT = 64
+
+
 class _Memo(dict):
     """A dictionary that makes missing values, and starts anew when it is full (results do not depend on it)."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int | None = None):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._most, self._longest = make, most, longest
 
     def __missing__(self, key):
+        if self._longest and len(key) > self._longest:
+            return self._make(key)
         if len(self) >= self._most:
             self.clear()
         value = self[key] = self._make(key)
@@ -84,7 +92,7 @@ class PieceCodec:
         self._known = {p for p in self._ids if len(p) == 1}
         self._shorter = _Memo(self._shorter_of, len(self._pieces) + 1)
         self._pair = _Memo(self._pair_holds, PAIRS_KEPT)
-        self._unit = _Memo(self._encode_unit, units_kept)
+        self._unit = _Memo(self._encode_unit, units_kept, UNIT_KEPT)
         self._plain = [b"" if i in self._special else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(self._pieces)]
         for b, i in self._bytes.items():
             self._plain[i] = bytes([b])
@@ -119,14 +127,14 @@ class PieceCodec:
         longest = [-1] * n
         for end, (size, i) in self._automaton.iter(run):
             longest[end - size + 1] = i  # ends come in order, so the longest of a start comes last
-        alive = (1 << (n + 1)) - 1
+        alive = bytearray(b"\xff") * (n // 8 + 1)  # a bit for each position that has not failed
         taken: list[int] = []
         pos, token = 0, longest[0] if n else -1
         pieces, pair = self._pieces, self._pair
         while pos < n or token >= 0:
             while token >= 0:
                 end = pos + len(pieces[token])
-                if alive >> end & 1 and (not taken or pair[taken[-1] << 20 | token]):
+                if alive[end >> 3] >> (end & 7) & 1 and (not taken or pair[taken[-1] << 20 | token]):
                     break
                 token = self._shorter[token]
             if token >= 0:
@@ -136,7 +144,7 @@ class PieceCodec:
                     break
                 token = longest[pos]
             else:
-                alive &= ~(1 << pos)
+                alive[pos >> 3] &= ~(1 << (pos & 7))
                 token = taken.pop()
                 pos -= len(pieces[token])
         return taken
