@@ -176,6 +176,23 @@ def test_sentencepieces(spark, rows):
     assert got == collections.Counter((i, *want(t)) for i, t in rows)
 
 
+def test_long_units_are_encoded_in_linear_time():
+    import time
+
+    import sentencepiece as spm
+
+    from veilspark.llm.queries import tokenizer_model
+    from veilspark.llm.sentencepieces import PieceCodec, load_vocabulary
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    codec = PieceCodec(load_vocabulary(tokenizer_model()))
+    began = time.time()
+    ids = codec.encode(text)
+    assert time.time() - began < 15  # a second or two alone; quadratic work takes minutes
+    assert ids == spm.SentencePieceProcessor(model_file=tokenizer_model()).encode(text, add_bos=True, add_eos=True)
+
+
 def test_decontamination(spark, rows):
     from veilspark.llm.decontaminate import clean, report
 
@@ -207,6 +224,7 @@ def test_decontamination(spark, rows):
     docs = frame(spark, rows)
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert bag(report(docs, bench), *cols) == collections.Counter((i, *want(t)) for i, t in rows)
+    assert bag(report(docs, bench, broadcast_windows=0), *cols) == collections.Counter((i, *want(t)) for i, t in rows)
     left = clean(docs, bench)
     assert left.columns == docs.columns and bag(report(left, bench), "n_hit").keys() == {(0,)}
     assert bag(report(docs, bench.limit(0)), "n_hit").keys() == {(0,)}

@@ -53,10 +53,11 @@ def _scan_keyed(docs: DataFrame, benchmark: DataFrame, id_column: str, broadcast
     windows = benchmark_windows(benchmark)
     sizes = {r[0]: r[1] for r in windows.groupBy("size").count().collect()}  # at most WINDOW rows
     build = windows.select(F.col("size").alias("b_size"), F.col("h").alias("b_h"), F.col("window").alias("b_window"), "items")
-    if sum(sizes.values()) <= broadcast_windows:
-        build = F.broadcast(build)
     lengths = sorted(sizes, reverse=True) or [WINDOW]
     d = docs.select(RID, id_column, words(F.col("text")).alias("w"))
+    if sum(sizes.values()) > broadcast_windows:
+        return _scan_by_shuffle(d, build, lengths, id_column)
+    build = F.broadcast(build)
     n = F.size("w")
     hashes = [_window_hashes(k) for k in lengths]
     seen = d.select(RID, id_column, "w", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), *hashes)).alias("at", "h"))
@@ -76,13 +77,27 @@ def _scan_keyed(docs: DataFrame, benchmark: DataFrame, id_column: str, broadcast
     return grouped
 
 
+def _scan_by_shuffle(d: DataFrame, build: DataFrame, lengths: list[int], id_column: str) -> DataFrame:
+    """The scan where the windows are too many to send: hashes and places alone are shuffled, words meet theirs afterwards."""
+    placed = lambda k: F.transform(_window_hashes(k), lambda h, i: F.struct(h.alias("h"), i.alias("index"), F.lit(k).alias("size")))
+    seen = d.select(RID, F.explode(F.concat(*map(placed, lengths))).alias("x")).select(RID, "x.h", "x.index", "x.size")
+    met = seen.join(build, (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
+    asked = met.groupBy(RID).agg(F.collect_list(F.struct("index", "size", F.col("b_window").alias("window"), "items")).alias("asked"))
+    none = F.array().cast(asked.schema["asked"].dataType)
+    held = d.join(asked, RID, "left").withColumn("asked", F.coalesce("asked", none))
+    true = F.filter("asked", lambda x: F.slice("w", x["index"] + 1, x["size"]) == x["window"])
+    hits = F.array_distinct(F.transform(true, lambda x: F.struct(x["index"].alias("index"), x["size"].alias("size"))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(true, lambda x: x["items"]))))
+    return held.select(RID, id_column, F.size("w").cast("bigint").alias("n_words"), hits.alias("hits"), items.alias("items"))
+
+
 def covered(hits: Column) -> Column:
     """Indexes of the words inside any hit."""
     return F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["index"], x["index"] + x["size"] - 1))))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", min_items: int = 2) -> DataFrame:
-    s = scan(docs, benchmark, id_column)
+def report(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", min_items: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    s = scan(docs, benchmark, id_column, broadcast_windows)
     return s.select(
         id_column,
         "n_words",
