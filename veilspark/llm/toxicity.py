@@ -29,7 +29,7 @@ WORD_DIM = 8
 CHAR_DIM = 8
 HIDDEN = 8
 WINDOW = 24
-STRIDE = 16
+STRIDE = 12  # half a window, so that any passage of half a window lies whole in one
 CHAR_NGRAMS = (4, 5)
 MAX_TRAIN = 700
 EPOCHS = 16
@@ -268,7 +268,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit
     kept = labels.where(F.col(label).isNotNull() & ~held_out(id_column, FOLDS)).groupBy(id_column).agg(F.min(F.col(label).cast("int")).alias("_veil_label"))
     each = [kept.where(cond).orderBy(F.xxhash64(id_column), id_column).limit(limit) for cond in (F.col("_veil_label") > 0, F.col("_veil_label") <= 0)]
     chosen = F.broadcast(each[0].unionByName(each[1]))
-    data = docs.select(id_column, "text").join(chosen, id_column).dropDuplicates([id_column]).select("text", "_veil_label").toArrow()
+    data = docs.select(id_column, "text").join(chosen, id_column).groupBy(id_column).agg(F.min("text").alias("text"), F.min("_veil_label").alias("_veil_label")).select("text", "_veil_label").toArrow()
     rows = sorted((r["_veil_label"] > 0, (r["text"] or "").encode()) for r in data.to_pylist())
     return train([t for _, t in rows], np.array([y for y, _ in rows], dtype=np.int64))
 
