@@ -484,7 +484,7 @@ def test_merge_against_sorting():
         flat = np.frombuffer(b"".join(strings), np.uint8)
         pairs = flat[:-1].astype(np.uint16) << 8 | flat[1:]
         shards = [Shard(flat, pairs, offsets[k : k + 4], many[k : k + 3], n) for k in range(0, len(strings), 3)]
-        start, common = merge(shards, n)
+        start, common = merge(shards, n, drop_unique=False)
         order = [bytes(flat[x : x + n]) for x in start]
         assert order == sorted(every)
         for a, b, c in zip(order, order[1:], common[1:]):

@@ -14,7 +14,7 @@ suffixes which can be equal over LENGTH bytes meet, and only these:
    column i is that of the suffixes LENGTH - 2 i bytes behind one. The transforms are merged: the interleave of all
    shards is refined column by column, by a stable distribution on the letters that it brings together. It
    holds shards only; the n-th place of a shard is that shard's n-th suffix, so no suffix is compared or sorted again.
-   Blocks of equal prefixes only ever split. Common prefix lengths follow from those of the step before: two
+   Blocks of equal prefixes only ever split, and a suffix alone in its block leaves its shard and the interleave. Common prefix lengths follow from those of the step before: two
    neighbours of one letter have two bytes more than the least between the places they came from. Where LENGTH bytes
    are common lie the repeated intervals; a stretch that counts twice is repeated throughout.
 4. A key of more than MAX_FAMILY different stretches is split by its next bytes: its starts are dealt by their distance to
@@ -88,54 +88,62 @@ def stretch_ids(places) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """The transform of some strings: the letters before their suffixes, a column for each depth, in the suffixes' order.
 
-    Column i is that of the suffixes that lie ``length`` - 2 i bytes behind one of the ``many`` first starts of each
-    string, ordered by their first 2 i bytes. ``start`` holds the starts ordered by ``length`` bytes.
+    The column of depth d is that of the suffixes that lie ``length`` - d bytes behind one of the ``many`` first starts of
+    each string, ordered by their first d bytes. Letters are two bytes, but for the last of an odd length.
     """
 
     def __init__(self, flat: np.ndarray, pairs: np.ndarray, offsets: np.ndarray, many: np.ndarray, length: int):
-        start = np.repeat(offsets[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        self.columns = []
-        for depth in range(0, length, 2):
-            letter = pairs[start + (length - depth - 2)] if length - depth > 1 else flat[start].astype(np.uint16)
-            self.columns.append(letter)
-            start = start[np.argsort(letter, kind="stable")]
-        self.start = start
+        self.flat, self.pairs, self.length, self.depth = flat, pairs, length, 0
+        self.start = np.repeat(offsets[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+    def column(self) -> np.ndarray:
+        """The letters of this depth; the suffixes go on to those that they begin with these letters, in their order."""
+        left = self.length - self.depth
+        letter = self.pairs[self.start + (left - 2)] if left > 1 else self.flat[self.start].astype(np.uint16)
+        self.start = self.start[np.argsort(letter, kind="stable")]
+        self.depth += min(2, left)
+        return letter
+
+    def keep(self, these: np.ndarray) -> None:
+        """Go on with some suffixes only, told in their order."""
+        self.start = self.start[these]
 
 
 class _Least:
     """Least values between places of an array, any two at once."""
 
     def __init__(self, values: np.ndarray):
-        self.rows = [values]
-        while 2 << len(self.rows) - 1 <= len(values):
-            half = 1 << len(self.rows) - 1
-            self.rows.append(np.minimum(self.rows[-1][:-half], self.rows[-1][half:]))
+        n = len(values)
+        self.level = np.zeros(n + 1, dtype=np.uint8)  # of each width: the greatest power of two in it
+        for k in range(1, n.bit_length()):
+            self.level[1 << k :] = k
+        self.rows = np.empty((max(1, n.bit_length()), n), dtype=values.dtype)
+        self.rows[0] = values
+        for k in range(1, len(self.rows)):
+            half = 1 << k - 1
+            np.minimum(self.rows[k - 1, : n - 2 * half + 1], self.rows[k - 1, half : n - half + 1], out=self.rows[k, : n - 2 * half + 1])
 
     def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The least value of each [lo, hi)."""
-        level = np.log2(hi - lo).astype(np.int64)
-        out = np.empty(len(lo), dtype=self.rows[0].dtype)
-        for k in np.unique(level):
-            at = np.flatnonzero(level == k)
-            out[at] = np.minimum(self.rows[k][lo[at]], self.rows[k][hi[at] - (1 << int(k))])
-        return out
+        level = self.level[hi - lo].astype(np.int64)
+        return np.minimum(self.rows[level, lo], self.rows[level, hi - (1 << level)])
 
 
-def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def merge(shards: list[Shard], length: int = LENGTH, drop_unique: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Merge the transforms of ``shards`` by refining their interleave to ``length`` bytes.
 
-    Returns all starts in order and the common prefix length of each with the one before (0 at the first).
+    Returns starts in order and the common prefix length of each with the one before (0 at the first). With
+    ``drop_unique`` a suffix alone in its block leaves, since no string that it begins has an equal.
     """
     sizes = [len(s.start) for s in shards]
     turn = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), sizes)
-    n = len(turn)
-    fresh = np.zeros(n, dtype=bool)
+    fresh = np.zeros(len(turn), dtype=bool)
     fresh[:1] = True
-    common = np.zeros(n, dtype=np.int16)  # at the first place of a block: bytes shared with the place before
-    for step, columns in enumerate(zip(*(s.columns for s in shards))):
-        width = min(2, length - 2 * step)
+    common = np.zeros(len(turn), dtype=np.int16)  # at the first place of a block: bytes shared with the place before
+    for depth in range(0, length, 2):
+        n, width = len(turn), min(2, length - depth)
         letter = np.empty(n, dtype=np.uint16)
-        letter[np.argsort(turn, kind="stable")] = np.concatenate(columns)
+        letter[np.argsort(turn, kind="stable")] = np.concatenate([s.column() for s in shards])
         block = np.cumsum(fresh, dtype=np.int32) - 1
         heads = common[fresh]
         order = np.argsort(letter, kind="stable")
@@ -149,8 +157,25 @@ def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.nda
         near = np.flatnonzero(fresh[1:] & ~other) + 1
         if len(near):
             common[near] = width + _Least(heads).between(block[near - 1] + 1, block[near] + 1)
+        alone = fresh.copy()
+        alone[:-1] &= fresh[1:]
+        if drop_unique and 8 * np.count_nonzero(alone) > n:
+            common[~fresh] = length
+            stays = ~alone
+            told = stays[np.argsort(turn, kind="stable")]
+            for s, these in zip(shards, np.split(told, np.cumsum(np.bincount(turn, minlength=len(shards)))[:-1])):
+                s.keep(these)
+            kept = np.flatnonzero(stays)
+            if len(kept):  # what leaves between two places bounds what they share
+                common = np.minimum.reduceat(common, np.append(0, kept[:-1] + 1))
+                common[0] = 0
+            else:
+                common = common[:0]
+            turn, fresh = turn[stays], fresh[stays]
+            if not len(turn):
+                break
     common[~fresh] = length
-    start = np.empty(n, dtype=np.int64)
+    start = np.empty(len(turn), dtype=np.int64)
     start[np.argsort(turn, kind="stable")] = np.concatenate([s.start for s in shards]) if shards else []
     return start, common
 
@@ -162,11 +187,11 @@ def repeated_starts(strings: list[bytes], many: np.ndarray, length: int = LENGTH
         return out
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    pairs = flat[:-1].astype(np.uint16) << 8 | flat[1:]
+    pairs = flat[:-1].astype(np.uint16) << 8 | flat[1:]  # all letters, one at each place
     cuts = range(0, len(strings), shard_strings)
     start, common = merge([Shard(flat, pairs, offsets[k : k + shard_strings + 1], many[k : k + shard_strings], length) for k in cuts], length)
     equal = common >= length  # repeated intervals: places that share all bytes with the one before
-    equal[:-1] |= equal[1:]
+    equal[:-1] |= equal[1:].copy()
     hit = start[equal]
     text = np.searchsorted(offsets, hit, "right") - 1
     out[(np.cumsum(many) - many)[text] + hit - offsets[text]] = True
