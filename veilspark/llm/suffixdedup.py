@@ -18,7 +18,7 @@ suffixes which can be equal over LENGTH bytes meet, and only these:
    neighbours of one letter have two bytes more than the least between the places they came from. Where LENGTH bytes
    are common lie the repeated intervals; a stretch that counts twice is repeated throughout.
 4. A key of more than MAX_FAMILY different stretches is split by its next bytes: its starts are dealt by their distance to
-   the anchor to ranges of half the width, in which equal strings have more bytes in common, whose hash is the finer key.
+   the anchor to ranges of a quarter of the width, in which equal strings have more bytes in common, whose hash is the finer key.
    Ranges of one start have whole strings for keys, so this ends.
 5. Each segment whose stretch has repeated intervals gets them at its place.
 
@@ -331,7 +331,7 @@ def _intervals(stretches: DataFrame, max_family: int, width: int = LENGTH - KEY
         return written(_merged(stretches), "merged")
     few = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     out = written(_merged(stretches.join(few, "key", "left_anti")), "merged")
-    width = (width + 1) // 2
+    width = (width + 3) // 4
     parts = written(_finer(stretches.join(few, "key", "left_semi"), width), "finer")
     each = written(parts.groupBy(*STRETCH).agg(F.sum("rows").alias("rows"), F.min("many").alias("many"), F.min("anchor").alias("anchor"), F.min("bytes").alias("bytes")), "finer-stretches")
     found = _intervals(each, max_family, width)
