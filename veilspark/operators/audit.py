@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import scalars as S
+from veilspark.operators.registry import Registry
+from veilspark.shared import written
 
 
 def split_votes(candidates: DataFrame) -> DataFrame:
@@ -26,6 +28,12 @@ def leak_counts(embedded: DataFrame) -> DataFrame:
     return embedded.where(F.col("category").isin("商標", "社名")).groupBy("category").agg(F.count(F.lit(1)).alias("tokens"))
 
 
+def leaks(embedded_tokens: DataFrame) -> DataFrame:
+    """As ``leak_counts`` but by token and term, of token occurrences (token, canonical, category), most first."""
+    out = embedded_tokens.where(F.col("category").isin("商標", "社名")).groupBy("token", "canonical", "category").agg(F.count(F.lit(1)).alias("tokens"))
+    return out.orderBy(F.desc("tokens"), "token", "canonical")
+
+
 def token_summary(tagged: DataFrame) -> DataFrame:
     """One row: tokens, proper nouns, tokens inside entities, and proper nouns that no entity covers.
 
@@ -78,22 +86,49 @@ def result_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return tag(a.subtract(b), "lost").unionByName(tag(b.subtract(a), "gained")).unionByName(tag(a.intersect(b), "kept"))
 
 
-def judged(glossary: DataFrame, judge: Callable[[list[str]], dict[str, str]], batch: int = 25) -> DataFrame:
-    """Terms with a verdict from ``judge``, asked for in batches; what it does not answer is unsure, a failed batch failed."""
+JUDGED = "row int, term string, mask string, confidence string, category string, reason string"
+MASK_ORDER, SURE_ORDER = ["要マスク", "要確認", "不要"], ["高", "中", "低"]  # fixed values, in the order of a review
+
+
+def judged(glossary: DataFrame, judge: Callable[[list[str]], dict[str, tuple[str, str, str, str]]], kept: str | None = None, batch: int = 25) -> DataFrame:
+    """Rows of a glossary (row, term) with (mask, confidence, category, reason) from ``judge``, asked for in batches.
+
+    What ``judge`` does not answer is 要確認 of low confidence; so are all rows of a batch that failed. With ``kept``, a
+    folder, rows that an earlier run judged are read from there, and what this one judges is added, failed batches excepted,
+    so that a later run asks for these again.
+    """
+    spark, unsure = glossary.sparkSession, ("要確認", "低", "")
+    todo, done = glossary.select("row", "term"), None
+    if kept and Registry(spark, kept).holds("judged"):
+        done = spark.read.schema(JUDGED).parquet(f"{kept}/judged").dropDuplicates(["row"])
+        todo = todo.join(done.select("row"), "row", "left_anti")
 
     def run(batches):
         for block in batches:
-            terms = block.column(0).to_pylist()
+            rows, terms = (c.to_pylist() for c in block.columns)
             for k in range(0, len(terms), batch):
-                part = terms[k : k + batch]
+                part, out = terms[k : k + batch], []
                 try:
                     said = judge(part)
-                    verdicts = [said.get(t, "unsure") for t in part]
-                except Exception:  # noqa: BLE001  the caller's function may fail in any way; a later run asks again
-                    verdicts = ["failed"] * len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(verdicts, pa.string())], names=["term", "verdict"])
-
-    return glossary.select("term").distinct().mapInArrow(run, "term string, verdict string")
+                    out = [(*(said.get(t) or (*unsure, "未判定")), True) for t in part]
+                except Exception as e:  # noqa: BLE001  the caller's function may fail in any way; a later run asks again
+                    out = [(*unsure, f"バッチ判定に失敗: {e}", False) for _ in part]
+                columns = [rows[k : k + batch], part, *zip(*out)]
+                types = (pa.int32(), *[pa.string()] * 5, pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["row", "term", "mask", "confidence", "category", "reason", "answered"])
+
+    new = written(todo.select(F.col("row").cast("int"), "term").mapInArrow(run, JUDGED + ", answered boolean"), "judged")
+    if kept:
+        new.where("answered").drop("answered").write.mode("append").parquet(f"{kept.rstrip('/')}/judged")
+    out = new.drop("answered")
+    return out if done is None else out.unionByName(done.join(glossary.select("row"), "row", "left_semi").select(out.columns))
+
+
+def by_judgement(rows: DataFrame) -> DataFrame:
+    """Judged rows as a reviewer reads them: what must be masked first, the surest first; ``certain`` says what is both."""
+    place = lambda c, order: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(c)), F.lit(0)), F.lit(9))
+    certain = (F.col("mask") == MASK_ORDER[0]) & (F.col("confidence") == SURE_ORDER[0])
+    return rows.withColumn("certain", certain).orderBy(place("mask", MASK_ORDER), place("confidence", SURE_ORDER), "row")
 
 
 def for_review(groups: DataFrame) -> DataFrame:

@@ -341,9 +341,10 @@ def llm_votes(spans: DataFrame) -> DataFrame:
 
 
 def detect(windows: DataFrame, finder: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
-    """Run a detector on windows (part_id, start, text): (part_id, start, end, ene_type, found), located in the text.
+    """Run a detector on windows (part_id, start, text): (part_id, start, end, ene_type, found, surface, place).
 
-    ``finder`` returns (type, surface) pairs; a surface that does not occur is returned with found = false.
+    ``finder`` returns (type, surface) pairs, which are located in the text; a surface that does not occur is returned
+    with found = false and without a place in the text. ``place`` is the pair's number in the answer.
     """
     kind = windows.schema["part_id"].dataType.simpleString()
 
@@ -351,29 +352,50 @@ def detect(windows: DataFrame, finder: Callable[[str], list[tuple[str, str]]]) -
         for batch in batches:
             out = []
             for part, start, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for ene_type, surface in finder(text):
+                for k, (ene_type, surface) in enumerate(finder(text)):
                     places = [m.start() for m in re.finditer(re.escape(surface), text)] if surface else []
-                    out += [(part, start + p, start + p + len(surface), ene_type, True, surface) for p in places] or [(part, None, None, ene_type, False, surface)]
-            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=["part_id", "start", "end", "ene_type", "found", "surface"])
+                    out += [(part, start + p, start + p + len(surface), ene_type, True, surface, k) for p in places] or [(part, None, None, ene_type, False, surface, k)]
+            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=["part_id", "start", "end", "ene_type", "found", "surface", "place"])
 
-    return windows.select("part_id", "start", "text").mapInArrow(run, f"part_id {kind}, start int, end int, ene_type string, found boolean, surface string")
+    return windows.select("part_id", "start", "text").mapInArrow(run, f"part_id {kind}, start int, end int, ene_type string, found boolean, surface string, place int")
 
 
 def feature_scan(names: DataFrame, term_list: DataFrame) -> DataFrame:
-    """How many names hold each ASCII term as a run of their tokens: (term, files), most first."""
+    """How many names hold each term: (term, files), most first.
+
+    A term of ASCII tokens alone counts as a run of a name's tokens; one with other letters as a part of the
+    name, both NFKC and case-folded.
+    """
     from veilspark.functions.scalars import ascii_tokens
 
     n = names.select("name", ascii_tokens(F.col("name")).alias("t"))
-    k = term_list.select("term", ascii_tokens(F.col("term")).alias("k")).where(F.size("k") > 0).select("term", F.array_join("k", " ").alias("key"), F.size("k").alias("n"))
-    sizes = [r[0] for r in k.select("n").distinct().collect()]
-    runs = None
+    other = F.col("term").rlike("[぀-ヿ㐀-鿿豈-﫿]") | (F.size("k") == 0)
+    k = term_list.select("term", ascii_tokens(F.col("term")).alias("k")).distinct()
+    runs_of = k.where(~other).select("term", F.array_join("k", " ").alias("key"), F.size("k").alias("n"))
+    sizes = [r[0] for r in runs_of.select("n").distinct().collect()]  # lengths of terms, few
+    hits = None
     for m in sizes:
-        g = _grams(n, m)
-        runs = g if runs is None else runs.unionByName(g)
-    hits = runs.distinct().join(_small(k), "key")
+        g = _grams(n, m).distinct().join(_small(runs_of.where(F.col("n") == m)), "key").select("term", "name")
+        hits = g if hits is None else hits.unionByName(g)
+    plain = F.regexp_replace(normalize("term"), "^$", "")
+    parts = k.where(other).select("term", plain.alias("key"), F.length(plain).alias("n")).where("n > 0")
+    folded = names.select("name", normalize("name").alias("c")).distinct()
+    for m in [r[0] for r in parts.select("n").distinct().collect()]:
+        g = folded.where(F.length("c") >= m).select("name", F.explode(F.expr(f"transform(sequence(1, length(c) - {m} + 1), i -> substring(c, i, {m}))")).alias("key")).distinct()
+        g = g.join(_small(parts.where(F.col("n") == m)), "key").select("term", "name")
+        hits = g if hits is None else hits.unionByName(g)
+    if hits is None:
+        hits = names.select(F.lit("").alias("term"), "name").limit(0)
     return hits.groupBy("term").agg(F.count_distinct("name").alias("files")).orderBy(F.desc("files"), "term")
 
 
 def _grams(n: DataFrame, m: int) -> DataFrame:
     return n.where(F.size("t") >= m).select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - (m - 1)), lambda i: F.array_join(F.slice("t", i, F.lit(m)), " "))).alias("key"))
+
+
+def contains_partial(surfaces: DataFrame, keys: DataFrame) -> DataFrame:
+    """The surfaces (column ``surface``) in which a run of parts is one of the partial terms ``keys``."""
+    rows = surfaces.select("surface").distinct()
+    runs = term_runs(rows.select(F.col("surface").alias("part_id"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.length("surface").alias("end"), "surface"), keys, False, ATOM)
+    return rows.join(runs.select(F.col("part_id").alias("surface")).distinct(), "surface", "left_semi")

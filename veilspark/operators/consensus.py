@@ -220,6 +220,14 @@ def groups(candidates: DataFrame, keys: DataFrame | None = None, by: str = "part
     return out.withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy("first"))).drop("first")
 
 
+def system_votes(votes: Column) -> Column:
+    """The best category of each of the two systems' votes: a map of ner and llm, without a system that names none."""
+    best = lambda mine: S.category_of_rank(F.array_min(F.transform(F.filter(F.transform(F.filter(votes, mine), lambda v: S.vote_category(v["channel"], v["label"])), lambda c: c.isNotNull()), lambda c: S.category_rank(c))))
+    ner = best(lambda v: ~v["channel"].isin(*M.DECISIVE, "collected", "llm"))
+    llm = best(lambda v: v["channel"] == "llm")
+    return F.map_filter(F.map_from_arrays(F.array(F.lit("ner"), F.lit("llm")), F.array(ner, llm)), lambda _, v: v.isNotNull())
+
+
 def vote_map(votes: Column) -> Column:
     """channel -> its labels, distinct in order, joined."""
     channels = F.array_distinct(F.transform(votes, lambda v: v["channel"]))

@@ -65,14 +65,14 @@ def _html(raw: bytes) -> list[str]:
 LOADERS: dict[str, Callable[[bytes], list[str]]] = {"txt": _plain, "md": _plain, "html": _html, "htm": _html, "xml": _html, "docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx}
 
 
-def load(spark: SparkSession, path: str, loaders: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str | list[str], loaders: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
     """Documents of all files under ``path``. An extension without a loader is an error, as is a path without files; all text is NFKC."""
     known = LOADERS | {k.lower().lstrip("."): f for k, f in (loaders or {}).items()}
     try:
         files = spark.read.format("binaryFile").load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(path) from e
+            raise FileNotFoundError(str(path)) from e
         raise
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
 
@@ -147,10 +147,34 @@ def sample(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("sample", "\n".join(lines))], "part_id string, text string")
 
 
+def one_line_cells(df: DataFrame) -> DataFrame:
+    """White space runs in texts, line ends too, become one space."""
+    return df.select(*[F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def write_rows(df: DataFrame, path: str) -> None:
-    """CSV or JSON by the extension of ``path``; line ends inside cells become spaces."""
-    flat = df.select(*[F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-    if path.endswith(".csv"):
-        flat.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-    else:
+    """CSV or JSON by the extension of ``path``; every CSV file begins with a byte order mark, before its header."""
+    flat = one_line_cells(df)
+    if not path.endswith(".csv"):
         flat.write.mode("overwrite").json(path)
+        return
+    mark = [F.col(c).alias(("\ufeff" if k == 0 else "") + c) for k, c in enumerate(flat.columns)]
+    flat.select(*mark).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def with_colours(spans: DataFrame, colours: dict[str, str], default: str = "#dcdcdc") -> DataFrame:
+    """Spans with the ``colour`` of their ``label``, whatever its case; labels without one have ``default``."""
+    rows = [(k.upper(), v) for k, v in colours.items()]
+    table = F.broadcast(spans.sparkSession.createDataFrame(rows, "_label string, colour string"))  # the caller's few colours
+    out = spans.join(table, F.upper("label") == F.col("_label"), "left").drop("_label")
+    return out.withColumn("colour", F.coalesce("colour", F.lit(default)))
+
+
+def display_data(parts: DataFrame, spans: DataFrame) -> DataFrame:
+    """A row for each part: text, ents (start, end, label in order of place, without those that overlap an earlier one)."""
+    fields = "array<struct<start:int,end:int,label:string>>"
+    ents = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label"))).cast(fields)
+    step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
+    kept = F.aggregate("e", F.struct(F.lit(0).alias("at"), F.array().cast(fields).alias("out")), step, lambda s: s["out"])
+    each = spans.groupBy("part_id").agg(ents.alias("e")).select("part_id", kept.alias("ents"))
+    return parts.select("part_id", "text").join(each, "part_id", "left").withColumn("ents", F.coalesce("ents", F.array().cast(fields)))
