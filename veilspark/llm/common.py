@@ -5,14 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.shared import shared_dir, written
+
 RID = "_veil_rid"
 #: Rows of a narrow table that are sent to all executors at most; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -23,23 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are over."""
     gc.collect()
@@ -47,13 +30,16 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table that ``written`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = hadoop(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, or plans over one, and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        here = shared_dir(spark).rsplit("/", 1)[-1]
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/{here}/" in top + "/":  # never an input of the caller's
+                path = hadoop(top)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sent(small: DataFrame, label: str, limit: int = 1_000_000) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64
-from veilspark.llm.common import RID, forget, hot_join, keyed, pieces, release, sent, string_bytes, written
+from veilspark.llm.common import RID, drop_written, forget, hot_join, keyed, pieces, release, sent, string_bytes, written
 from veilspark.llm.components import components
 from veilspark.llm.quality import white
 from veilspark.llm.toxicity import LOWER
@@ -425,6 +425,8 @@ def rooted(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     across = across.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
     links = links.unionByName(verified(written(_wide_filter(across, wide), "pairs"), docs, sets))
     parts = components(links)
+    drop_written(buckets, wide, still)
+    release(spark)
     return sets.select(RID, id_column, "s", "n"), parts.select(F.col("node").alias("s"), F.col("component").alias("root"))
 
 

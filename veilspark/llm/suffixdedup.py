@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64, sliding_argmin
-from veilspark.llm.common import RID, forget, hot_join, keyed, pieces, release, string_bytes, written
+from veilspark.llm.common import RID, drop_written, forget, hot_join, keyed, pieces, release, string_bytes, written
 
 LENGTH = 200
 KEY = 51
@@ -352,6 +352,7 @@ def repeated_spans(docs: DataFrame, max_family: int = MAX_FAMILY) -> DataFrame:
     here = hot_join(marks.select(*STRETCH, RID, "at"), found, STRETCH, "inner")
     spans = here.select(RID, F.transform("spans", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi"))).alias("spans"))
     out = written(spans.groupBy(RID).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    drop_written(busy, marks, stretches, found)
     release(spark)
     return out
 

@@ -206,7 +206,7 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _layout(words: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct-word indexes (time, window) and where there is a word; no word points at the last row."""
-    steps = np.arange(int(max(1, size.max(initial=1))))[:, None]
+    steps = np.arange(WINDOW)[:, None]  # all windows alike, so that a score does not depend on what is scored beside it
     mask = steps < size
     none = len(words.word_row)
     if not len(words.index):
