@@ -303,22 +303,24 @@ def _finer(stretches: DataFrame, width: int) -> DataFrame:
     def run(batches):
         forget()
         for batch in batches:
-            out: list[list] = [[] for _ in range(11)]
-            for key, one, two, rows, many, anchor, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                buf = Buffer(np.frombuffer(raw, dtype=np.uint8))
-                far, near = anchor, anchor - many + 1  # distances of the first and the last start
-                ranges = np.arange(near // width, far // width + 1)
-                least, most = np.maximum(ranges * width, near), np.minimum(ranges * width + width - 1, far)
-                start, end = anchor - most, anchor - least + LENGTH
-                # bytes that all strings of the whole range have, also where this stretch has some of its distances only
-                low, high = anchor - ranges * width, anchor - ranges * width - width + 1 + LENGTH
-                context = mix64(buf.hash(low, high) ^ mix64(ranges.astype(U64) + U64(width << 20)))
-                for k, (x, y) in enumerate(zip(start, end)):
-                    values = (key, one, two, x, *(int(v.view(np.int64)) for v in (context[k], buf.hash(start[k : k + 1], end[k : k + 1])[0], buf.hash(start[k : k + 1], end[k : k + 1], 1)[0])), rows, most[k] - least[k] + 1, most[k], raw[x:y])
-                    for column, value in zip(out, values):
-                        column.append(value)
-            types = (*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 4, pa.int16(), pa.int16(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["up_key", "up_one", "up_two", "place", *STRETCH, "rows", "many", "anchor", "bytes"])
+            flat, offsets = string_bytes(batch.column(6))
+            buf = Buffer(flat)
+            far = batch.column(5).to_numpy().astype(np.int64)  # distances of the first start, and of the last
+            near = far - batch.column(4).to_numpy() + 1
+            times = far // width - near // width + 1
+            row = np.repeat(np.arange(len(far)), times)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + (near // width)[row]
+            least, most = np.maximum(part * width, near[row]), np.minimum(part * width + width - 1, far[row])
+            place = far[row] - most
+            start, end = offsets[row] + place, offsets[row] + far[row] - least + LENGTH
+            # bytes that all strings of the whole range have, also where this stretch has some of its distances only
+            shared = offsets[row] + far[row] - part * width
+            context = mix64(buf.hash(shared, shared - width + 1 + LENGTH) ^ mix64(part.astype(U64) + U64(width << 20)))
+            hashes = [pa.array(x.view(np.int64)) for x in (context, *stretch_ids((buf, start, end)))]
+            up = batch.take(pa.array(row))
+            strings = pa.array([flat[x:y].tobytes() for x, y in zip(start, end)], pa.binary())
+            small = [pa.array(x.astype(np.int16)) for x in (most - least + 1, most)]
+            yield pa.RecordBatch.from_arrays([*up.columns[:3], pa.array(place.astype(np.int32)), *hashes, up.column(3), *small, strings], names=["up_key", "up_one", "up_two", "place", *STRETCH, "rows", "many", "anchor", "bytes"])
 
     return stretches.mapInArrow(run, f"up_key bigint, up_one bigint, up_two bigint, place int, {_STRETCH_ROWS}")
 
