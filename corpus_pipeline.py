@@ -3,6 +3,11 @@
 1. Toxic documents go. 2. Of each group of near copies one document stays. 3. Byte strings that repeat anywhere are
 cut out of the texts. 4. Documents with windows of two or more benchmark items go; of others the spans of such
 windows are cut out. 5. What is left is encoded. SQL cannot express the first, third and last stage.
+
+Each stage states its rules in its operator. In short: null texts count as empty, pass every filter and are encoded as
+such; documents without words are copies of nothing; of copies the one of the least id stays (an id before none, then any
+one row of equal ids); rows of equal ids are rows of their own; empty tables give an empty table; other columns stay as they are
+up to the last stage, but for n_chars, which is counted anew where a text was cut.
 """
 
 from __future__ import annotations

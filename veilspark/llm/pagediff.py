@@ -1,7 +1,8 @@
 """Operator 2: main text of web pages by differencing each page with its nearest URL.
 
 A page is cut into lines (blocks) in page order. Lines in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, as their elements, roles or class names say, are left out, but never an element that
+forms and reader comments, as their elements, roles or class names say, are left out first, since in the given pages no
+two neighbours share such a line, and what they do share is text of their articles (figures in the README), but never an element that
 holds the page's article, or most of its text where only a class name, id or form says so. Each page is then paired
 with the page of the same host whose path is nearest in sort order and that is not its copy (the longer common
 prefix of the pages before and after the run of copies it stands in), the two line lists are aligned by their longest common subsequence, and shared lines are
@@ -10,7 +11,7 @@ stands in a list of them. Two pages that share nearly all lines are copies of on
 pages of the host that a task holds are copies of one.
 
 Pages are dealt out by ranges of (host, path), so a large host spreads over many tasks; the first page of a
-range takes the page after it. A run of copies is held by its task until the page after it comes. A null or empty html gives the empty text; a null url is a host of its own kind
+range takes the page after it, so for at most two pages a task the neighbour depends on where ranges end. A run of copies is held by its task until the page after it comes. A null or empty html gives the empty text; a null url is a host of its own kind
 without path. Repeated rows are answered each, other columns do not matter, an empty table gives an empty one.
 """
 

@@ -4,12 +4,12 @@ Features of a text are its words (cut at ASCII white space), its pairs of adjace
 3 to 5 inside a word, the white space beside a word counting as its edge. In a pair, a word that only repeats the
 one before is written as a back reference, so that all such pairs are one feature whatever the word. Features are hashed to rows of an embedding table; a text is the
 mean of its features' vectors, followed by a softmax over two outputs. Both are learned by stochastic gradient
-descent in numpy on the driver, from at most MAX_TRAIN labelled rows (the least by a hash of their id) with at
-most MAX_TRAIN_BYTES of text each row's whole text; labels outside the fit are never read.
+descent in numpy on the driver, from the whole texts of at most MAX_TRAIN labelled rows (the least by a hash of their id; of
+an id's texts the least); labels outside the fit are never read.
 
 Scoring sees every byte of every text and is row-local: output and mean are linear, so each feature row shrinks
 to one number once the model is fitted. A null or empty text has no features and gets the softmax of the bias.
-Repeated rows get equal scores; rows whose label is null or that no document carries are not used; with labels
+A very long text is scored in one piece, about 100 bytes of memory a byte. Repeated rows get equal scores; rows whose label is null or that no document carries are not used; with labels
 of one class only, or none, the model is its bias. An empty table gives an empty result.
 """
 

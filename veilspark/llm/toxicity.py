@@ -9,7 +9,9 @@ has the largest of their probabilities.
 Learned on the driver from at most MAX_TRAIN labelled rows per label (the least by a hash of their id), whole
 texts, as multiple-instance learning: in each epoch the window that scores highest and one at random stand for a
 text. A null or empty text is one window without words. Null labels are not used; with no labels the network
-scores as initialised. Repeated rows get equal scores; an empty table gives an empty result.
+scores as initialised. Windows of fewer words are filled up with inputs of no word, so a score does not depend on what
+is scored beside it. A very long text is scored in steps of STEP_WINDOWS windows. Repeated rows get equal scores; of rows
+that share an id the least text is learnt from; other columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ then, level by level, only the children of nodes that differ. Where leaves diffe
 aligned, first by id and hash, then by id, so that a record that only moved, since one before it was lost, added or
 grew, stays intact. After such a record the descent reaches all later leaves of its archive.
 
-A null html is an empty body, a null url an empty URI. Pages without id share 1024 archives of their own by content.
+A null html is an empty body, a null url an empty URI. Pages without id have archives by content, by a hash of 31 bits.
 Repeated rows are repeated records; equal ids are ordered by hash. Records that only one replica has are returned as
 missing (ours) or extra (theirs); a record without id that changed is one of each. An empty table gives an empty
 result; other columns do not matter.
@@ -52,7 +52,7 @@ def leaves(pages: DataFrame, altered: Column | None = None, longer: Column | Non
         text = F.when(altered, F.concat(F.substring(text, 1, F.length(text) - 1), F.lit("\t"))).otherwise(text)
     if longer is not None:
         text = F.when(longer, F.concat(text, F.lit("\t"))).otherwise(text)
-    archive = F.coalesce(F.floor(F.col("page_id") / ID_RANGE).cast("bigint"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1024)))
+    archive = F.coalesce(F.floor(F.col("page_id") / ID_RANGE).cast("bigint"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1 << 31)))
     rows = pages.select("page_id", archive.alias("archive"), text.alias("record"))
     rows = rows.select("page_id", "archive", F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("sha256"))
     w = Window.partitionBy("archive").orderBy("page_id", "length", "sha256")
