@@ -177,7 +177,7 @@ def test_terms_beyond_a_worker_meet_by_joins(spark, monkeypatch):
     both = []
     for limit in (100_000, 0):
         monkeypatch.setattr(channels, "HELD_TERMS", limit)
-        both.append([sorted(map(tuple, find(p, keys).collect())) for find in (channels.dictionary_hits, channels.partial_hits, channels.cjk_substring_hits)])
+        both.append([sorted(map(tuple, find(p, keys).collect())) for find in (channels.dictionary_hits, channels.partial_hits, channels.cjk_substring_hits, channels.embedded_audit)])
     assert both[0] == both[1] and len(both[0][0]) > 5
     assert sorted(map(tuple, channels.dictionary_hits(channels.tokens(p), keys).collect())) == both[0][0]
 

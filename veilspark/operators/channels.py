@@ -301,19 +301,47 @@ def with_terms(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
     return s.withColumn("cs", F.col("_kept").isNotNull()).withColumn("canonical", F.col("_t.canonical")).withColumn("mask", F.col("_t.mask")).drop("_ck", "_ci", "_kept", "_plain", "_t")
 
 
-def embedded_audit(toks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Distinct tokens that hold a term of two or more characters without being one: token, canonical, category."""
+def embedded_audit(source: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct tokens that hold a term of two or more characters without being one: token, canonical, category.
+
+    ``source``: as in ``term_runs``. Up to HELD_TERMS terms are held by each worker, which tells a token's terms once; more
+    are met by a join on the tokens' substrings of the terms' lengths.
+    """
+    k = keys.where("not cs").where(F.length("key") >= 2).select("key", "canonical", "category").dropDuplicates(["key"])
+    if k.count() > HELD_TERMS:
+        return _embedded_by_join(tokens(source) if "text" in source.columns else source, k)
+    shared = source.sparkSession.sparkContext.broadcast({r[0]: (r[1], r[2]) for r in k.collect()})  # at most HELD_TERMS
+
+    def run(batches):
+        terms, told = shared.value, {}
+        sizes = sorted({len(x) for x in terms})
+        for batch in batches:
+            out = set()
+            for value in batch.column(0).to_pylist():
+                for _, _, surface in _toks(value, None):
+                    held = told.get(surface)
+                    if held is None:
+                        c = fold(surface)
+                        held = () if c in terms else tuple({terms[c[i : i + n]] for n in sizes if n < len(c) for i in range(len(c) - n + 1) if c[i : i + n] in terms})
+                        if len(told) > 200_000:
+                            told.clear()
+                        told[surface] = held
+                    out.update((surface, *x) for x in held)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 3)], names=["token", "canonical", "category"])
+
+    rows = _rows_of(source)
+    return rows.select(rows.columns[1]).mapInArrow(run, "token string, canonical string, category string").distinct()
+
+
+def _embedded_by_join(toks: DataFrame, k: DataFrame) -> DataFrame:
     t = toks.select(F.col("surface").alias("token")).distinct().withColumn("ci", normalize("token"))
-    k = keys.where("not cs").where(F.length("key") >= 2)
     whole = t.join(k.select("key"), t["ci"] == k["key"], "left_anti")
-    sizes = [r[0] for r in k.select(F.length("key")).distinct().collect()]
+    sizes = [r[0] for r in k.select(F.length("key")).distinct().collect()]  # lengths of terms, few
     grams = None
     for n in sizes:
         g = whole.where(F.length("ci") > n).select("token", F.explode(F.expr(f"transform(sequence(1, length(ci) - {n} + 1), i -> substring(ci, i, {n}))")).alias("key"))
         grams = g if grams is None else grams.unionByName(g)
-    if grams is None:
-        return whole.select("token", F.lit("").alias("canonical"), F.lit("").alias("category")).limit(0)
-    return grams.join(_small(k.select("key", "canonical", "category")), "key").select("token", "canonical", "category").distinct()
+    return grams.join(_small(k), "key").select("token", "canonical", "category").distinct()
 
 
 def term_votes(hits: DataFrame, channel: str = "dict", note: str = "辞書") -> DataFrame:

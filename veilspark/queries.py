@@ -318,8 +318,7 @@ embedded AS (SELECT DISTINCT token, canonical, category FROM t JOIN k ON contain
 
 @query("embedded_terms", f"WITH {_EMBEDDED_SQL} SELECT token, canonical, category FROM embedded")
 def embedded_terms(spark, sf_dir):
-    toks = channels.tokens(_parts(spark, sf_dir))
-    return channels.embedded_audit(toks, channels.terms(_entries(spark))).select("token", "canonical", "category")
+    return channels.embedded_audit(_parts(spark, sf_dir), channels.terms(_entries(spark))).select("token", "canonical", "category")
 
 
 @query("leak_report", f"WITH {_EMBEDDED_SQL} SELECT category, count(*) AS tokens FROM embedded WHERE category IN ('商標', '社名') GROUP BY 1")
