@@ -404,27 +404,29 @@ def rooted(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
         near = pairs.distinct().alias("p").join(each.alias("x"), F.col("p.a") == F.col("x.s")).join(each.alias("y"), F.col("p.b") == F.col("y.s")).where(_near("x", "y"))
         return verified(written(_wide_filter(near.select("p.a", "p.b"), wide), "pairs"), docs, sets)
 
-    def open_buckets(links: DataFrame) -> DataFrame:
+    def open_buckets(parts: DataFrame) -> DataFrame:
         """Rows with their component ``c`` of buckets that hold several, and how many members a bucket has."""
-        parts = components(links)
         placed = written(buckets.join(parts, buckets["s"] == parts["node"], "left").select(*buckets.columns, F.coalesce("component", "s").alias("c")), "placed")
         several = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("sig", "members")
         return written(placed.join(several, "sig"), "open")
 
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """Components of the components so far, which are stars already, and further links."""
+        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
     centre = buckets.groupBy("sig").agg(F.min("s").alias("a"))
-    links = compared(buckets.join(centre, "sig").where(F.col("a") != F.col("s")).select("a", F.col("s").alias("b")))
-    still = open_buckets(links)
+    parts = components(compared(buckets.join(centre, "sig").where(F.col("a") != F.col("s")).select("a", F.col("s").alias("b"))))
+    still = open_buckets(parts)
     centre = still.groupBy("sig").agg(F.max(F.struct("s", "c")).alias("x")).select("sig", F.col("x.s").alias("b"), F.col("x.c").alias("d"))
-    links = links.unionByName(compared(still.join(centre, "sig").where("c <> d").select(F.col("s").alias("a"), "b")))
+    parts = joined(parts, compared(still.join(centre, "sig").where("c <> d").select(F.col("s").alias("a"), "b")))
 
-    still = open_buckets(links).join(each, "s").withColumn("band", F.shiftright("item", 34)).withColumn("segment", F.shiftright("item", 2)).withColumn("own", F.col("item").bitwiseAND(1) == 1)
+    still = open_buckets(parts).join(each, "s").withColumn("band", F.shiftright("item", 34)).withColumn("segment", F.shiftright("item", 2)).withColumn("own", F.col("item").bitwiseAND(1) == 1)
     still = written(still.drop("lo", "hi"), "met")
     x, y = looked_up(still.repartition("s")).alias("x"), still.alias("y")
     smaller = F.struct("y.n", "y.s") < F.struct("x.n", "x.s")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.own") | F.col("y.own")) & (smaller | (F.col("y.slack") < 0)) & _near("x", "y"))
     across = across.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
-    links = links.unionByName(verified(written(_wide_filter(across, wide), "pairs"), docs, sets))
-    parts = components(links)
+    parts = joined(parts, verified(written(_wide_filter(across, wide), "pairs"), docs, sets))
     drop_written(buckets, wide, still)
     release(spark)
     return sets.select(RID, id_column, "s", "n"), parts.select(F.col("node").alias("s"), F.col("component").alias("root"))
