@@ -48,17 +48,17 @@ def sent(small: DataFrame, label: str, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def hot_join(rows: DataFrame, answers: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+def hot_join(rows: DataFrame, answers: DataFrame, key: str | list[str], how: str = "left", limit: int | None = None) -> DataFrame:
     """``rows`` joined with ``answers`` (one row a key, written), whose column ``rows`` tells how many rows ask.
 
-    Up to BROADCAST_ROWS answers are sent to all executors. Beyond that they meet the rows by a shuffle, where the rows
+    Up to ``limit`` (BROADCAST_ROWS) answers are sent to all executors. Beyond that they meet the rows by a shuffle, where the rows
     of hot keys (a hundred-thousandth of all rows or more, so a hundred thousand keys at most) are dealt to SALTS
     tasks by their other columns and these keys' answers go to each.
     """
     key = [key] if isinstance(key, str) else key
     value = [c for c in answers.columns if c not in (*key, "rows")]
     n, total = answers.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    if n <= BROADCAST_ROWS:
+    if n <= (BROADCAST_ROWS if limit is None else limit):
         return rows.join(F.broadcast(answers.select(*key, *value)), key, how)
     most = max(1000, total // 100_000)
     hot = F.broadcast(answers.where(F.col("rows") > most).select(*key, F.lit(True).alias("_hot")))

@@ -44,7 +44,7 @@ KEY = 51
 GRAM = 8
 MAX_FAMILY = 2_000
 #: Suffixes that one merge holds (about 300 bytes each), unless one key has more.
-MERGE_STARTS = 1 << 18
+MERGE_STARTS = 1 << 17
 SHARD_STRINGS = 512
 #: Spans that are broadcast at most, to cut the texts; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, max_family: int = MAX_FAMILY) -> DataFrame:
     stretches = written(_stretches(docs, marks), "stretches")
     found = _intervals(stretches, max_family)
     found = written(found.join(stretches.select(*STRETCH, "rows"), STRETCH), "found")
-    here = hot_join(marks.select(*STRETCH, RID, "at"), found, STRETCH, "inner")
+    here = hot_join(marks.select(*STRETCH, RID, "at"), found, STRETCH, "inner", min(BROADCAST_ROWS, 200_000))
     spans = here.select(RID, F.transform("spans", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi"))).alias("spans"))
     out = written(spans.groupBy(RID).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     drop_written(busy, marks, stretches, found)
