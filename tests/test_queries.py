@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as e
+from veilspark.operators import channels
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +40,13 @@ def test_empty_turns(spark, tables):
     for name, column, first in (("bundle_masked", "masked_text", "Ask [人物1]"), ("bundle_unmask", "restored", "Ask Bartholomew")):
         got = {(r["bundle_id"], r["part_id"]): r[column] for r in e.queries()[name](spark, tables[0]).collect()}
         assert got == {(1, 0): first, (1, 1): "", (1, 2): "", (2, 0): ""}, name
+
+
+def test_case_sensitive_hits_are_single_words_as_written(spark, tmp_path, monkeypatch):
+    texts = ["Erin er. Eriner", "Er\niner The", "Ｔｈｅ The the", "Erinerß ßThe éThe ﬁLicense", "_The The- T-he The.", "TheThe The2 (The)", "Tʰe", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = re.compile("(?<![A-Za-z0-9_-])(?:Eriner|License|The)(?![A-Za-z0-9_-])")
+    expected = sorted((k, m.start(), m.end(), m[0]) for k, t in enumerate(texts) for m in words.finditer(t or ""))
+    for held in (channels.HELD_TERMS, 0):
+        monkeypatch.setattr(channels, "HELD_TERMS", held)
+        assert sorted(map(tuple, e.queries()["case_sensitive_hits"](spark, str(tmp_path)).collect())) == expected

@@ -75,7 +75,7 @@ def _small(df: DataFrame) -> DataFrame:
 #: Terms that one worker holds as a table of their beginnings; beyond it tokens meet the terms by joins.
 HELD_TERMS = 100_000
 ATOM = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\x00-\x7F\s]+|\S")
-_LATIN = re.compile(r"[a-z0-9_-]")
+_LATIN = re.compile(r"[A-Za-z0-9_-]")
 
 
 class _Terms:
@@ -88,20 +88,20 @@ class _Terms:
             (self.cased if cs else self.by_key).setdefault(key, (canonical, category))
         self.begins, self.cased_begins = ({k[:n] for k in d for n in range(1, len(k) + 1)} for d in (self.by_key, self.cased))
 
-    def runs(self, toks: list[tuple[int, int, str]], folded: dict, guard: bool):
+    def runs(self, toks: list[tuple[int, int, str]], folded: dict, guard: bool, literal: bool = False):
         """Hits (i, n, start, end, canonical, category, cs) in order of i, then n."""
-        keys = []
+        keys, longest = [], 1 if literal else M.MAX_RUN
         for _, _, surface in toks:
             pair = folded.get(surface)
             if pair is None:
-                pair = folded[surface] = (fold(surface), fold_case_kept(surface))
+                pair = folded[surface] = (surface, surface) if literal else (fold(surface), fold_case_kept(surface))
             keys.append(pair)
         for i, (start, _, _) in enumerate(toks):
             if not keys[i][0]:
                 continue
             for cs, table, begins in ((False, self.by_key, self.begins), (True, self.cased, self.cased_begins)):
                 run = ""
-                for n in range(1, min(M.MAX_RUN, len(toks) - i) + 1):
+                for n in range(1, min(longest, len(toks) - i) + 1):
                     run += keys[i + n - 1][cs]
                     if run not in begins:
                         break
@@ -136,17 +136,18 @@ def _toks(value, cut: re.Pattern | None) -> list[tuple[int, int, str]]:
     return toks if cut is None else [(s + m.start(), s + m.end(), m[0]) for s, _, x in toks for m in cut.finditer(x)]
 
 
-def term_runs(source: DataFrame, keys: DataFrame | None, guard: bool, cut: re.Pattern | None = None) -> DataFrame:
+def term_runs(source: DataFrame, keys: DataFrame | None, guard: bool, cut: re.Pattern | None = None, literal: bool = False) -> DataFrame:
     """Term hits on token runs of each part, without overlap: part_id, i, n, start, end, canonical, category, cs.
 
     ``source`` holds parts (part_id, text), read by the default tokeniser, or tokens. ``keys`` are terms for all parts;
     if None, ``source`` has a column ``terms``, each part's own (key, cs, canonical, category). A part is settled in one
-    pass; nothing is shuffled but supplied tokens. ``cut`` splits tokens first. Null texts have no tokens.
+    pass; nothing is shuffled but supplied tokens. ``cut`` splits tokens first. Null texts have no tokens. ``literal``: a token
+    is met with the keys alone and as it is written, and so are its neighbours with the guard.
     """
     own = keys is None
     if not own and keys.count() > HELD_TERMS:
         toks = tokens(source) if "text" in source.columns else source
-        return greedy(_runs(atoms(toks) if cut else toks, keys, guard))
+        return greedy(_runs(atoms(toks) if cut else toks, keys, guard, literal))
     shared = None if own else source.sparkSession.sparkContext.broadcast([tuple(r) for r in keys.select("key", "cs", "canonical", "category").orderBy("key", "cs", "canonical").collect()])  # at most HELD_TERMS
     rows = source if own else _rows_of(source)
     kind = rows.schema["part_id"].dataType.simpleString()
@@ -159,7 +160,7 @@ def term_runs(source: DataFrame, keys: DataFrame | None, guard: bool, cut: re.Pa
             terms = batch.column(2).to_pylist() if own else [None] * batch.num_rows
             for part, value, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), terms):
                 table = every or _Terms((x["key"], x["cs"], x["canonical"], x["category"]) for x in mine or ())
-                out += [(part, *h) for h in _longest(table.runs(_toks(value, cut), folded, guard))]
+                out += [(part, *h) for h in _longest(table.runs(_toks(value, cut), folded, guard, literal))]
                 if len(folded) > 200_000:
                     folded.clear()
             types = (part_type, *[pa.int32()] * 4, pa.string(), pa.string(), pa.bool_())
@@ -175,7 +176,7 @@ def own_term_runs(source: DataFrame, terms: DataFrame, guard: bool) -> DataFrame
     return term_runs(_rows_of(source).join(mine, "part_id"), None, guard)
 
 
-def _runs(toks: DataFrame, keys: DataFrame, guard: bool) -> DataFrame:
+def _runs(toks: DataFrame, keys: DataFrame, guard: bool, literal: bool = False) -> DataFrame:
     """Token runs whose joined keys are terms: part_id, i, n, start, end, canonical, category, cs.
 
     For term lists too large for a worker. Runs are made by window functions over a part's tokens, none longer in
@@ -184,14 +185,15 @@ def _runs(toks: DataFrame, keys: DataFrame, guard: bool) -> DataFrame:
     limits = keys.agg(F.max(F.length("key")).alias("chars"), F.bool_or("cs").alias("cs")).first()
     longest = limits["chars"] or 0
     w = Window.partitionBy("part_id").orderBy("i")
-    t = toks.withColumn("ci", normalize("surface")).withColumn("ck", normalize_case_kept("surface"))
-    ahead = F.collect_list(F.struct("end", "ci", "ck", "start")).over(w.rowsBetween(0, M.MAX_RUN - 1))
+    folds = (F.col, F.col) if literal else (normalize, normalize_case_kept)
+    t = toks.withColumn("ci", folds[0]("surface")).withColumn("ck", folds[1]("surface"))
+    ahead = F.collect_list(F.struct("end", "ci", "ck", "start")).over(w.rowsBetween(0, 0 if literal else M.MAX_RUN - 1))
     t = t.select("part_id", "i", "start", F.lag("end").over(w).alias("before_end"), F.lag("ci").over(w).alias("before"), F.collect_list(F.struct("start", "ci")).over(w.rowsBetween(1, M.MAX_RUN)).alias("after"), ahead.alias("run"))
     t = t.where(F.length(F.get("run", F.lit(0))["ci"]) > 0)
     # a run can only be a term if its first token begins one
-    starts = keys.select(normalize("key").alias("k")).select(F.explode(F.expr("transform(sequence(1, length(k)), i -> substring(k, 1, i))")).alias("begins")).distinct()
+    starts = keys.select(folds[0]("key").alias("k")).select(F.explode(F.expr("transform(sequence(1, length(k)), i -> substring(k, 1, i))")).alias("begins")).distinct()
     t = t.withColumn("begins", F.get("run", F.lit(0))["ci"]).join(_small(starts), "begins", "left_semi")
-    latin = r"[a-z0-9_-]"
+    latin = _LATIN.pattern
     cut = t.select("*", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n"))
     part = F.slice("run", F.lit(1), F.col("n"))
     ci = F.array_join(F.transform(part, lambda x: x["ci"]), "")
@@ -225,9 +227,9 @@ def greedy(hits: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, f"part_id {kind}, i int, n int, start int, end int, canonical string, category string, cs boolean")
 
 
-def dictionary_hits(source: DataFrame, keys: DataFrame) -> DataFrame:
-    """Whole matches of terms on token runs: not inside a longer Latin identifier. ``source``: as in ``term_runs``."""
-    return term_runs(source, keys, guard=True)
+def dictionary_hits(source: DataFrame, keys: DataFrame, literal: bool = False) -> DataFrame:
+    """Whole matches of terms on token runs: not inside a longer Latin identifier. ``source``, ``literal``: as in ``term_runs``."""
+    return term_runs(source, keys, guard=True, literal=literal)
 
 
 def atoms(parts_tokens: DataFrame) -> DataFrame:
