@@ -105,6 +105,7 @@ def forget() -> None:
 
 def trim() -> None:
     """Give freed memory of earlier tasks back to the system."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -122,6 +123,21 @@ def string_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nda
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs inside hands Python at most ``rows`` rows at once; for whole texts, of which Spark else holds 10,000 on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a record batch whose ``column`` holds about ``limit`` bytes each (a longer text stands alone)."""
     _, offsets = string_bytes(batch.column(column))

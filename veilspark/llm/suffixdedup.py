@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.bytescan import U64, Buffer, mix64, sliding_argmin
-from veilspark.llm.common import RID, drop_written, forget, hot_join, keyed, pieces, release, string_bytes, written
+from veilspark.llm.common import RID, drop_written, forget, hot_join, keyed, pieces, release, small_batches, string_bytes, written
 
 LENGTH = 200
 KEY = 51
@@ -48,7 +48,8 @@ MERGE_STARTS = 1 << 17
 SHARD_STRINGS = 512
 #: Spans that are broadcast at most, to cut the texts; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
-PIECE = 1 << 20
+#: Bytes of texts that a task scans, or turns to Python objects, at once.
+PIECE = 1 << 18
 SPANS = "_veil_spans"
 
 
@@ -243,9 +244,9 @@ def _stretches(docs: DataFrame, marks: DataFrame) -> DataFrame:
     def run(batches):
         forget()
         names = [*STRETCH, "rows", "many", "anchor"]
-        for batch in batches:
+        for piece in _each_piece(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
-            for text, wanted in zip(batch.column(0), batch.column(1)):
+            for text, wanted in zip(piece.column(0), piece.column(1)):
                 raw = text.as_py().encode("utf-8")
                 for x in wanted.as_py():
                     for column, name in zip(out, names):
@@ -344,11 +345,12 @@ def _intervals(stretches: DataFrame, max_family: int, width: int = LENGTH - KEY
 def repeated_spans(docs: DataFrame, max_family: int = MAX_FAMILY) -> DataFrame:
     """Per keyed text with repeats: RID and ``spans``, all [lo, hi) found, in no order and overlapping."""
     spark = docs.sparkSession
-    busy = written(_busy_keys(docs), "busy")
-    release(spark)
-    marks = written(_marks(docs, busy).drop("rows"), "marks")
-    release(spark)
-    stretches = written(_stretches(docs, marks), "stretches")
+    with small_batches(spark):
+        busy = written(_busy_keys(docs), "busy")
+        release(spark)
+        marks = written(_marks(docs, busy).drop("rows"), "marks")
+        release(spark)
+        stretches = written(_stretches(docs, marks), "stretches")
     found = _intervals(stretches, max_family)
     found = written(found.join(stretches.select(*STRETCH, "rows"), STRETCH), "found")
     here = hot_join(marks.select(*STRETCH, RID, "at"), found, STRETCH, "inner", min(BROADCAST_ROWS, 200_000))
@@ -379,7 +381,7 @@ def report(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def run(batches):
         forget()
-        for batch in batches:
+        for batch in _each_piece(batches, "text"):
             out = []
             for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw = (text.as_py() or "").encode("utf-8")
@@ -401,7 +403,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def run(batches):
         forget()
-        for batch in batches:
+        for batch in _each_piece(batches, "text"):
             text, spans = batch.column("text").to_pylist(), batch.column(SPANS).to_pylist()
             new = [t if not x else _cut_text(t.encode("utf-8"), [(s["lo"], s["hi"]) for s in x])[0].decode("utf-8", "ignore") for t, x in zip(text, spans)]
             out = {c: batch.column(c) for c in columns}
