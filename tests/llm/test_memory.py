@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from veilspark.llm import common, suffixdedup
+from veilspark.llm import common, suffixdedup, toxicity
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -39,3 +39,23 @@ def test_repeats_scan_little_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40_000_000
+
+
+def test_toxicity_scores_little_at_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    words = np.array([rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in rng.integers(3, 10, 200_000)])
+    texts = [" ".join(rng.choice(words, 100)) for _ in range(4_000)]
+
+    class Docs:  # takes the function that tasks run
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda p: type("B", (), {"value": p}))})})
+        schema = None
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *_, **__: toxicity.Network())
+    run = toxicity.without_toxic(Docs, None, threshold=2.0)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 66_000_000

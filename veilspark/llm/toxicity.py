@@ -37,6 +37,7 @@ MAX_TRAIN = 700
 EPOCHS = 16
 STEP_WINDOWS = 4096
 STEP_WORDS = 1 << 15
+PIECE = 1 << 18  # bytes of texts that a task scores at once
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -284,7 +285,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, li
         net = Network()
         net.p = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 yield piece.filter(pa.array(score_texts(net, *string_bytes(piece.column("text"))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
@@ -300,7 +301,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
         net = Network()
         net.p = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score_texts(net, *string_bytes(piece.column(1))))], names=[id_column, "score"])
 
     scored = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {id_type}, score double")
