@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import written
+from veilspark.llm.common import drop_written, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -36,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = written(_small_star(_star(now)), "edges")
+        before, now = now, written(_small_star(_star(now)), "edges")
+        drop_written(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

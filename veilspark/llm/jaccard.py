@@ -262,9 +262,12 @@ def document_sets(docs: DataFrame, id_column: str) -> DataFrame:
     return docs.select(RID, id_column, "text").mapInArrow(run, f"{RID} bigint, `{id_column}` {id_type}, s bigint, n bigint, " + ", ".join(f"{k} bigint" for k in SKETCH) + ", wide binary")
 
 
+SIGNED = ["sig", "s", "item", "slack"]
+
+
 def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
-    """Rows (sig, s, item, slack) of every bucket that holds two sets or more."""
-    names = ["sig", "s", "item", "slack"]
+    """Rows (sig, s, item, slack) of every bucket that holds two sets or more, with the bucket's least set ``least``."""
+    names = SIGNED
 
     def emit(batches):
         forget()
@@ -284,6 +287,7 @@ def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
         """Of rows in order of (sig, s): the distinct ones whose sig has another s. A run may span batches."""
         forget()
         last = None
+        least = 0  # member of the bucket that the batch before ended in
         told = True  # whether the last distinct row has been sent or is known to be alone so far
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
@@ -297,6 +301,12 @@ def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
             sig = rows[0]
             if not len(sig):
                 continue
+            first = np.ones(len(sig), dtype=bool)
+            first[1:] = sig[1:] != sig[:-1]
+            rows.append(rows[1][np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))])
+            if last is not None and sig[0] == last[0]:
+                rows[4][sig == sig[0]] = least
+            least = rows[4][-1]
             before = np.concatenate(([False], sig[1:] == sig[:-1]))
             before[0] = last is not None and sig[0] == last[0]
             after = np.concatenate((sig[1:] == sig[:-1], [False]))
@@ -305,15 +315,15 @@ def bucket_rows(docs: DataFrame, bands: list[Band]) -> DataFrame:
             if before[0] and not told:
                 out = [np.insert(x, 0, v) for x, v in zip(out, last)]
             last, told = [x[-1] for x in rows], bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[*names, "least"])
 
     schema = "sig bigint, s bigint, item bigint, slack int"
     rows = docs.select("text").mapInArrow(emit, schema)
-    return rows.repartition("sig").sortWithinPartitions("sig", "s").mapInArrow(meeting, schema)
+    return rows.repartition("sig").sortWithinPartitions("sig", "s").mapInArrow(meeting, schema + ", least bigint")
 
 
 def looked_up(rows: DataFrame) -> DataFrame:
-    """Of a set's rows in a band those of the segments that it has to look up.
+    """Rows with ``asks``: whether the row's segment is one that the set has to look up in its band.
 
     Segments leave by falling cost (members of their buckets, for a unit of weight) while the weight that left is at
     most the slack. A set's rows are as many as its segments, so none of the windows grows with a bucket.
@@ -323,7 +333,33 @@ def looked_up(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("cost", F.sum("members").over(segment) / F.col("weight"))
     rows = rows.withColumn("once", F.when(F.row_number().over(segment.orderBy("sig")) == 1, F.col("weight")).otherwise(0))
     gone = F.sum("once").over(Window.partitionBy("s", "band").orderBy(F.desc("cost"), "segment").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("gone", gone).where("gone > slack").drop("weight", "cost", "once", "gone")
+    return rows.withColumn("asks", gone > F.col("slack")).drop("weight", "cost", "once")
+
+
+#: One in so many signatures is looked up first; the pairs that this finds are left out when the others are.
+FIRST = 16
+#: Of a set's pairs so many are left out at most (the others are found again, and one pair in the end).
+KNOWN = 64
+
+
+def meeting_pairs(met: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of rows that meet in a bucket which one of them has to look up.
+
+    Long sets that share a passage meet in very many buckets. Nearly all such pairs are found in the first part
+    of the buckets, and told to the rows that look up the rest.
+    """
+
+    def met_in(x: DataFrame, y: DataFrame, new: Column) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        smaller = F.struct("y.n", "y.s") < F.struct("x.n", "x.s")
+        found = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.own") | F.col("y.own")) & (smaller | (F.col("y.slack") < 0)) & _near("x", "y") & new)
+        return found.select(F.col("x.s").alias("s"), F.col("y.s").alias("other")).distinct()
+
+    early = F.pmod(F.col("sig"), F.lit(FIRST)) == 0
+    first = written(met_in(met.where(early & F.col("asks")), met.where(early), F.lit(True)), "first-pairs")
+    known = sent(first.groupBy("s").agg(F.slice(F.collect_list("other"), 1, KNOWN).alias("known")), "known")
+    rest = met_in(met.where(~early & F.col("asks")).join(known, "s", "left"), met.where(~early), ~F.coalesce(F.array_contains("x.known", F.col("y.s")), F.lit(False)))
+    return first.unionByName(rest).select(F.least("s", "other").alias("a"), F.greatest("s", "other").alias("b")).distinct()
 
 
 def _near(a: str, b: str) -> Column:
@@ -378,6 +414,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.join(members.withColumnRenamed("members", "x"), pairs["a"] == members["s"]).select("a", "b", "x")
     full = left.join(members.withColumnRenamed("members", "y"), left["b"] == members["s"]).select("a", "b", "x", "y")
     out = written(full.mapInArrow(test, "a bigint, b bigint"), "links")
+    drop_written(wanted, asked, members)
     release(spark)
     return out
 
@@ -400,34 +437,42 @@ def rooted(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     wide = written(each.join(buckets.select("s").distinct(), "s", "left_semi"), "meeting")
     each = wide.drop("wide")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        few = written(_wide_filter(pairs, wide), "pairs")
+        out = verified(few, docs, sets)
+        drop_written(few)
+        return out
+
     def compared(pairs: DataFrame) -> DataFrame:
         near = pairs.distinct().alias("p").join(each.alias("x"), F.col("p.a") == F.col("x.s")).join(each.alias("y"), F.col("p.b") == F.col("y.s")).where(_near("x", "y"))
-        return verified(written(_wide_filter(near.select("p.a", "p.b"), wide), "pairs"), docs, sets)
+        return linked(near.select("p.a", "p.b"))
 
-    def open_buckets(parts: DataFrame) -> DataFrame:
-        """Rows with their component ``c`` of buckets that hold several, and how many members a bucket has."""
-        placed = written(buckets.join(parts, buckets["s"] == parts["node"], "left").select(*buckets.columns, F.coalesce("component", "s").alias("c")), "placed")
-        several = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("sig", "members")
-        return written(placed.join(several, "sig"), "open")
+    def open_buckets(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """Of ``rows`` those of buckets that hold several components: with the component ``c``, how many members the
+        bucket has, and its greatest member ``b`` and that one's component ``d``.
+
+        A bucket of one component stays so, hence ``rows`` may be those that were open before.
+        """
+        few = F.broadcast(parts) if parts.count() <= BROADCAST_SETS else parts
+        placed = rows.select(*SIGNED).join(few, F.col("s") == F.col("node"), "left").select(*SIGNED, F.coalesce("component", "s").alias("c"))
+        several = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members"), F.max(F.struct("s", "c")).alias("x")).where("lo <> hi")
+        return placed.join(several.select("sig", "members", F.col("x.s").alias("b"), F.col("x.c").alias("d")), "sig")
 
     def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
         """Components of the components so far, which are stars already, and further links."""
         return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
-    centre = buckets.groupBy("sig").agg(F.min("s").alias("a"))
-    parts = components(compared(buckets.join(centre, "sig").where(F.col("a") != F.col("s")).select("a", F.col("s").alias("b"))))
-    still = open_buckets(parts)
-    centre = still.groupBy("sig").agg(F.max(F.struct("s", "c")).alias("x")).select("sig", F.col("x.s").alias("b"), F.col("x.c").alias("d"))
-    parts = joined(parts, compared(still.join(centre, "sig").where("c <> d").select(F.col("s").alias("a"), "b")))
-
-    still = open_buckets(parts).join(each, "s").withColumn("band", F.shiftright("item", 34)).withColumn("segment", F.shiftright("item", 2)).withColumn("own", F.col("item").bitwiseAND(1) == 1)
-    still = written(still.drop("lo", "hi"), "met")
-    x, y = looked_up(still.repartition("s")).alias("x"), still.alias("y")
-    smaller = F.struct("y.n", "y.s") < F.struct("x.n", "x.s")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.own") | F.col("y.own")) & (smaller | (F.col("y.slack") < 0)) & _near("x", "y"))
-    across = across.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
-    parts = joined(parts, verified(written(_wide_filter(across, wide), "pairs"), docs, sets))
-    drop_written(buckets, wide, still)
+    parts = components(compared(buckets.where("least <> s").select(F.col("least").alias("a"), F.col("s").alias("b"))))
+    still = written(open_buckets(buckets, parts), "open")
+    drop_written(buckets)
+    release(spark)
+    parts = joined(parts, compared(still.where("c <> d").select(F.col("s").alias("a"), "b")))
+    again = open_buckets(still, parts).drop("b", "d").join(each, "s").withColumn("band", F.shiftright("item", 34)).withColumn("segment", F.shiftright("item", 2)).withColumn("own", F.col("item").bitwiseAND(1) == 1)
+    met = written(looked_up(again).drop("item", "band", "segment", "members", "gone"), "met")
+    drop_written(still)
+    release(spark)
+    parts = joined(parts, linked(meeting_pairs(met)))
+    drop_written(wide, met)
     release(spark)
     return sets.select(RID, id_column, "s", "n"), parts.select(F.col("node").alias("s"), F.col("component").alias("root"))
 

@@ -255,7 +255,10 @@ def _stretches(docs: DataFrame, marks: DataFrame) -> DataFrame:
             types = (*[pa.int64()] * 4, pa.int16(), pa.int16(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[*names, "bytes"])
 
-    return docs.select(RID, "text").join(asked, RID).select("text", "asked").mapInArrow(run, _STRETCH_ROWS)
+    held = docs.select(RID, "text")
+    if asked.count() <= BROADCAST_ROWS:  # texts of which nothing is asked are not shuffled
+        held = held.join(F.broadcast(asked.select(RID)), RID, "left_semi")
+    return held.join(asked, RID).select("text", "asked").mapInArrow(run, _STRETCH_ROWS)
 
 
 _STRETCH_ROWS = "key bigint, one bigint, two bigint, rows bigint, many smallint, anchor smallint, bytes binary"
@@ -342,8 +345,28 @@ def _intervals(stretches: DataFrame, max_family: int, width: int = LENGTH - KEY
     return out.unionByName(written(back.groupBy(*STRETCH).agg(F.flatten(F.collect_list("spans")).alias("spans")), "finer-merged"))
 
 
+def _runs(batches):
+    """Rows of a key and spans that overlap: the spans' union as runs, which neither overlap nor touch."""
+    forget()
+    for batch in batches:
+        spans = batch.column(1)
+        row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
+        lo, hi = (x.to_numpy().astype(np.int64) for x in spans.flatten().flatten())
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        wide = np.int64(1) << 32  # rows are laid far apart, so that no run goes on into the next row
+        end = np.maximum.accumulate(row * wide + hi)
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = row[1:] * wide + lo[1:] > end[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        runs = pa.StructArray.from_arrays([pa.array(lo[first].astype(np.int32)), pa.array((end[last] - row[last] * wide).astype(np.int32))], names=["lo", "hi"])
+        cuts = np.searchsorted(row[first], np.arange(len(spans) + 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), runs)], names=[RID, "spans"])
+
+
 def repeated_spans(docs: DataFrame, max_family: int = MAX_FAMILY) -> DataFrame:
-    """Per keyed text with repeats: RID and ``spans``, all [lo, hi) found, in no order and overlapping."""
+    """Per keyed text with repeats: RID and ``spans``, the maximal runs [lo, hi) of repeated bytes in order."""
     spark = docs.sparkSession
     with small_batches(spark):
         busy = written(_busy_keys(docs), "busy")
@@ -355,7 +378,8 @@ def repeated_spans(docs: DataFrame, max_family: int = MAX_FAMILY) -> DataFrame:
     found = written(found.join(stretches.select(*STRETCH, "rows"), STRETCH), "found")
     here = hot_join(marks.select(*STRETCH, RID, "at"), found, STRETCH, "inner", min(BROADCAST_ROWS, 200_000))
     spans = here.select(RID, F.transform("spans", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), (x["hi"] + F.col("at")).alias("hi"))).alias("spans"))
-    out = written(spans.groupBy(RID).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    gathered = spans.groupBy(RID).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = written(gathered.mapInArrow(_runs, f"{RID} bigint, spans {_SPANS}"), "spans")
     drop_written(busy, marks, stretches, found)
     release(spark)
     return out
