@@ -26,6 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are over."""
     gc.collect()
+    with contextlib.suppress(Exception):  # events that wait for listeners hold their plans
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     with contextlib.suppress(Exception):
         spark.sparkContext._jvm.System.gc()
 
