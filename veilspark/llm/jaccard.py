@@ -337,9 +337,9 @@ def looked_up(rows: DataFrame) -> DataFrame:
 
 
 #: One in so many signatures is looked up first; the pairs that this finds are left out when the others are.
-FIRST = 16
+FIRST = 8
 #: Of a set's pairs so many are left out at most (the others are found again, and one pair in the end).
-KNOWN = 64
+KNOWN = 256
 
 
 def meeting_pairs(met: DataFrame) -> DataFrame:
